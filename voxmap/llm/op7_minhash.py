@@ -6,8 +6,10 @@ coordinates of a shingle. Coordinates are banded; documents that share a band bu
 confirmed by exact Jaccard similarity on the full shingle sets of whole texts.
 
 Hot groups: texts with one shingle set are one class from the start, bucket members are compared with the bucket's
-smallest member first (a star: as many pairs as members), and only members of one bucket that are still in different
-components are compared with each other after that. No bucket is gathered in a task and no bucket is capped.
+smallest member first (a star: as many pairs as members), then, where a bucket still holds several components, with STARS
+other members in turn. For what is left open after that, a prefix filter over the open documents (shingles in ascending
+frequency; two sets at the threshold share one of their rarest 20 %) gives every pair of different components that can
+still be a link, so no link is lost. No bucket is gathered in a task and no bucket is capped.
 
 Defined results: a null or blank text has an empty set and links with nothing; rows that share a doc_id are one
 document; rows with a null doc_id get a null component_id (unless a class mate has an id) and kept = false. Other
@@ -22,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxmap.llm import _text as X
-from voxmap.llm._util import components, cut, forget, table
+from voxmap.llm._util import components, cut, table
 
 RING_BITS = 20
 BANDS, ROWS = 32, 4
+STARS = 2
 _WIN: dict[int, np.ndarray] = {}
 
 
@@ -108,43 +112,72 @@ def _emit_sets(width: int):
     return run
 
 
-def _compare(percent: int):
+def _compare(batches):
     """Rows sorted by (p, chunk, role descending): the pivot's set comes first, then each member's; one pivot is held."""
+    at, pivot = None, None
+    for batch in batches:
+        ids, ps, ch, role = (np.asarray(batch.column(i)) for i in range(4))
+        sets, a, b, both, either = batch.column(4), [], [], [], []
+        for r in range(batch.num_rows):
+            u = np.frombuffer(sets[r].as_buffer(), np.uint64)
+            if role[r] == 1:
+                at, pivot = (ps[r], ch[r]), u.copy()
+            elif at == (ps[r], ch[r]):
+                small, large = (u, pivot) if len(u) <= len(pivot) else (pivot, u)
+                i = np.searchsorted(large, small)
+                i[i == len(large)] = 0
+                n = int((large[i] == small).sum())
+                a.append(ids[r])
+                b.append(ps[r])
+                both.append(n)
+                either.append(len(u) + len(pivot) - n)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, both, either)], ["a", "b", "both", "either"])
+
+
+def compare(texts: DataFrame, pairs: DataFrame, width: int, per_chunk: int = 64) -> DataFrame:
+    """The sizes of intersection and union of the full sets of each pair (x, p): (a, b, both, either).
 
+    Members of a pivot with many are spread over chunks; each chunk gets one copy of the pivot's set.
+    """
+    n = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    with_chunk = pairs.join(n, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / per_chunk)).cast("int").alias("chunk"))
+    need = with_chunk.select(F.col("x").alias("id"), "p", "chunk", F.lit(0).alias("role")).unionByName(with_chunk.select(F.col("p").alias("id"), "p", "chunk", F.lit(1).alias("role")).distinct())
+    sets = need.join(texts, "id").select("id", "p", "chunk", "role", "text").mapInArrow(_emit_sets(width), "id long, p long, chunk int, role int, set binary")
+    return sets.repartition("p", "chunk").sortWithinPartitions("p", "chunk", F.desc("role")).mapInArrow(_compare, "a long, b long, both long, either long")
+
+
+def _tokens(width: int):
     def run(batches):
-        at, pivot = None, None
         for batch in batches:
-            ids, ps, ch, role = (np.asarray(batch.column(i)) for i in range(4))
-            sets, a, b = batch.column(4), [], []
-            for r in range(batch.num_rows):
-                u = np.frombuffer(sets[r].as_buffer(), np.uint64)
-                if role[r] == 1:
-                    at, pivot = (ps[r], ch[r]), u.copy()
-                elif at == (ps[r], ch[r]):
-                    small, large = (u, pivot) if len(u) <= len(pivot) else (pivot, u)
-                    if 100 * len(small) < percent * len(large):
-                        continue
-                    i = np.searchsorted(large, small)
-                    i[i == len(large)] = 0
-                    both = int((large[i] == small).sum())
-                    if 100 * both >= percent * (len(u) + len(pivot) - both):
-                        a.append(ids[r])
-                        b.append(ps[r])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            rows, parts = [], []
+            for r, u in shingle_sets(batch.column(1), width):
+                rows.append(np.full(len(u), r))
+                parts.append(u.view(np.int64))
+            at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], ["rep", "token"])
 
     return run
 
 
-def confirm(texts: DataFrame, pairs: DataFrame, width: int, percent: int, per_chunk: int = 64) -> DataFrame:
-    """The pairs (x, p) whose full sets reach the threshold, as edges (a, b). texts: (id, text), one row per id in pairs.
+def sharing_prefixes(texts: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """All pairs (x, p) of docs(rep, size, comp) in different components that can reach the threshold, by prefix filter.
 
-    Members of a pivot with many are spread over chunks; each chunk gets one copy of the pivot's set.
+    A token's most frequent component is only probed by the members of others, so one huge component costs rows in
+    proportion to its size.
     """
-    n = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    with_chunk = pairs.join(n, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / per_chunk)).cast("int").alias("chunk"))
-    need = with_chunk.select(F.col("x").alias("id"), "p", "chunk", F.lit(0).alias("role")).unionByName(with_chunk.select(F.col("p").alias("id"), "p", "chunk", F.lit(1).alias("role")).distinct())
-    sets = need.join(texts, "id").select("id", "p", "chunk", "role", "text").mapInArrow(_emit_sets(width), "id long, p long, chunk int, role int, set binary")
-    return sets.repartition("p", "chunk").sortWithinPartitions("p", "chunk", F.desc("role")).mapInArrow(_compare(percent), "a long, b long")
+    tokens = cut(texts.mapInArrow(_tokens(width), "rep long, token long"), "tokens")
+    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranks = tokens.join(df, "token").join(docs, "rep").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")))
+    # a set of n needs ceil(t n) common shingles at least, so one of its n - ceil(t n) + 1 rarest is common
+    prefix = ranks.where((F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1)).select("rep", "size", "comp", "token", "r")
+    prefix = cut(prefix, "prefixes")
+    main = prefix.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
+    x = prefix.join(main, "token").where("comp <> main").alias("x")
+    y = prefix.alias("y")
+    # where the first common token stands at r and q, no more than 1 + min(n - r, m - q) shingles are common
+    enough = (100 + percent) * (1 + F.least(F.col("x.size") - F.col("x.r"), F.col("y.size") - F.col("y.r"))) >= percent * (F.col("x.size") + F.col("y.size"))
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (percent * F.greatest("x.size", "y.size") <= 100 * F.least("x.size", "y.size")) & enough
+    return x.join(y, on).select(F.greatest("x.rep", "y.rep").alias("x"), F.least("x.rep", "y.rep").alias("p")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -163,22 +196,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     texts = base.select(F.col("doc_id").alias("id"), "text").where("id is not null")
     # rows that share a doc_id are one document: the text that gave the class stands for it
     pairs = cut(member.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("p")).distinct(), "pairs")
-    edges = cut(confirm(texts, pairs, width, percent), "edges")
-    comp = cut(components(edges), "comp")
-    # what a star can't see: members of one bucket that are in different components still
-    lab = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
-    open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    lab = cut(lab.join(open_, "key"), "open")
-    l, r = lab.alias("l"), lab.alias("r")
-    more = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") < F.col("r.comp")) & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size"))).select(F.greatest("l.rep", "r.rep").alias("x"), F.least("l.rep", "r.rep").alias("p")).distinct()
-    more = cut(more.join(pairs, ["x", "p"], "left_anti"), "more")
-    if not more.isEmpty():
-        late = confirm(texts, more, width, percent)
-        edges2 = cut(edges.unionByName(late), "edges")
-        forget(comp)
-        comp = cut(components(edges2), "comp")
-    for t in (pairs, lab, member, more):
-        forget(t)
+    sims = cut(compare(texts, pairs, width), "sims")
+    linked = f"100 * both >= {percent} * either"
+    comp = cut(components(sims.where(linked).select("a", "b")), "comp")
+    own = None
+    for turn in range(STARS + 1):
+        # what the stars so far can't see: members of one bucket that are in different components still
+        lab = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
+        open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp", "size")).alias("m")).where("lo < hi").select("key", "m")
+        lab = cut(lab.join(open_, "key"), "open")
+        if lab.isEmpty():
+            break
+        if own is None:  # only these texts are needed from here on
+            own = cut(texts.join(lab.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
+        fits = lambda x, y: percent * F.greatest(x, y) <= 100 * F.least(x, y)
+        if turn < STARS:  # another member of each bucket is the pivot
+            more = lab.where((F.col("comp") != F.col("m.comp")) & fits(F.col("size"), F.col("m.size"))).select(F.greatest("rep", "m.rep").alias("x"), F.least("rep", "m.rep").alias("p")).distinct()
+        else:
+            more = sharing_prefixes(own, lab.select("rep", "size", "comp").distinct(), width, percent)
+        more = cut(more.join(sims.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("p")), ["x", "p"], "left_anti"), "more")
+        if not more.isEmpty():
+            sims = cut(sims.unionByName(compare(own, more, width)), "sims")
+            comp = cut(components(sims.where(linked).select("a", "b")), "comp")
     of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"], "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
