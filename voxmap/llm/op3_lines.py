@@ -106,9 +106,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = gone.select(*[F.col(c).alias(f"_{c}") for c in KEY], "_removed")
     d, t1, t2 = _key(docs["doc_id"], docs["text"].cast("string"))
     out = docs.join(gone, d.eqNullSafe(F.col("_d")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
-    lines = F.split(F.col("text"), "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed")), lambda i: F.get(lines, i))
-    return out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text").cast("string")).otherwise(F.array_join(left, "\n"))).drop("_d", "_t1", "_t2")
+    # the lines are bound to a lambda's variable, or they would be split anew for each line
+    left = F.expr(r"transform(array(split(CAST(text AS STRING), '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _removed), i -> get(l, i)), '\n'))[0]")
+    return out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text").cast("string")).otherwise(left)).drop("_d", "_t1", "_t2")
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
