@@ -162,7 +162,43 @@ class Network:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(self.scale(x) @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3][0]
 
-    def score(docs: DataFrame, model, keep_text: bool = False) -> DataFrame:
+    def score(self, x: np.ndarray) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(x), self.constant)
+        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
+
+
+def _features(vectors):
+    def run(batches):
+        for b in batches:
+            f = features(b.column(1), vectors.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in f], pa.binary())], ["quality", "f"])
+
+    return run
+
+
+def _scores(vectors, net: Network, first: int):
+    def run(batches):
+        for b in batches:
+            s = net.score(features(b.column(0), vectors.value))
+            yield pa.RecordBatch.from_arrays([*b.columns[first:], pa.array(s)], [*b.schema.names[first:], "score"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN):
+    """(broadcast word vectors, network) from all texts of docs(doc_id, text) and rows of labels(doc_id, quality)."""
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    vectors = spark.sparkContext.broadcast(word_vectors(docs))  # VOCAB x DIM numbers
+    some = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).withColumn("h", F.xxhash64("doc_id", F.lit(9))).orderBy("h", "doc_id", "quality").limit(train)
+    rows = docs.join(F.broadcast(some), "doc_id").select("quality", "text", "h").select("quality", "text").mapInArrow(_features(vectors), "quality int, f binary").collect()  # `train` rows at most
+    rows.sort(key=lambda r: (bytes(r.f), r.quality))
+    order = np.random.default_rng(1).permutation(len(rows))
+    x = np.array([np.frombuffer(rows[i].f, np.float32) for i in order]) if rows else np.zeros((0, DIM + EXTRA))
+    return vectors, Network(x, np.array([int(rows[i].quality == 1) for i in order]))
+
+
+def score(docs: DataFrame, model, keep_text: bool = False) -> DataFrame:
     """docs(text and others) with `score` in place of text, or beside it."""
     vectors, net = model
     cols = ["text", *[c for c in docs.columns if c not in ("text", "score")]]
