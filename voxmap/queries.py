@@ -244,8 +244,8 @@ _FULL = "(select unnest(range({0})) vx) cross join (select unnest(range({0})) vy
 _SLERP = """select frame_id, {0} from (select *, case when sin(ang) < 1e-9 then 1 - f else sin((1 - f) * ang) / sin(ang) end wa, case when sin(ang) < 1e-9 then f else sin(f * ang) / sin(ang) end wz
   from (select *, case when zt = ta then 0.0::double else (t - ta)::double / (zt - ta) end f, case when dot < 0 then -1.0 else 1.0 end sg, acos(least(1.0, abs(dot))) ang
   from (select a.frame_id, a.t, a.stamp_us ta, z.stamp_us zt, {1}, a.qw::double * z.qw + a.qz::double * z.qz dot
-    from (select s.frame_id, s.stamp_us t, p.*, row_number() over (partition by s.frame_id order by p.stamp_us desc, p.pose_seq desc) r from scans s join poses p on p.stamp_us <= s.stamp_us qualify r = 1) a
-    join (select s.frame_id, p.*, row_number() over (partition by s.frame_id order by p.stamp_us, p.pose_seq) r from scans s join poses p on p.stamp_us >= s.stamp_us qualify r = 1) z on a.frame_id = z.frame_id)))""".format(
+    from (select s.frame_id, s.stamp_us t, p.*, row_number() over (partition by s.frame_id order by p.stamp_us desc, p.pose_seq desc) rn from scans s join poses p on p.stamp_us <= s.stamp_us) a
+    join (select s.frame_id, p.*, row_number() over (partition by s.frame_id order by p.stamp_us, p.pose_seq) rn from scans s join poses p on p.stamp_us >= s.stamp_us) z on a.frame_id = z.frame_id and a.rn = 1 and z.rn = 1)))""".format(
     ", ".join([f"round(a{c} * (1 - f) + z{c} * f, 6) {c}" for c in ("tx", "ty")] + [f"round(a{c} * wa + sg * z{c} * wz, 6) {c}" for c in ("qw", "qz")]),
     ", ".join(f"{p}.{c}::double {p}{c}" for c in ("tx", "ty", "qw", "qz") for p in "az"),
 )
