@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from voxmap.llm._util import table
 
 PROFILE, PER_LANGUAGE = 300, 4000
+LANGUAGES = 10_000  # as many rows at most are broadcast
 _LETTERS: list[np.ndarray] = []
 
 
@@ -81,7 +82,8 @@ def learn(docs: DataFrame, profile: int = PROFILE, per_language: int = PER_LANGU
     few = d.select("doc_id", "lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
     # the hash up to which a language's rows are taken: a row per language
     top = few.groupBy("lang").agg(F.max("h").alias("top"))
-    used = d.join(top, "lang").where("h <= top").select("lang", "text")
+    side = F.broadcast(top) if top.count() <= LANGUAGES else top
+    used = d.join(side, "lang").where("h <= top").select("lang", "text")
     counts = used.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= profile)
     out: dict[str, list[int]] = {}
