@@ -7,7 +7,7 @@ confirmed by exact Jaccard similarity on the full shingle sets of whole texts.
 
 Hot groups: texts with one shingle set are one class from the start, bucket members are compared with the bucket's
 smallest member first (a star: as many pairs as members), then, where a bucket still holds several components, with STARS
-other members in turn. For what is left open after that, a prefix filter over the open documents (shingles in ascending
+other members in turn (none by default: each turn is a pass of its own). For what is left open after that, a prefix filter over the open documents (shingles in ascending
 frequency; two sets at the threshold share one of their rarest 20 %) gives every pair of different components that can
 still be a link, so no link is lost. No bucket is gathered in a task and no bucket is capped.
 
@@ -31,7 +31,7 @@ from voxmap.llm._util import components, cut, table
 
 RING_BITS = 20
 BANDS, ROWS = 32, 4
-STARS = 2
+STARS = 0
 _WIN: dict[int, np.ndarray] = {}
 
 
