@@ -32,6 +32,7 @@ from voxmap.llm._util import components, cut, table
 RING_BITS = 20
 BANDS, ROWS = 32, 4
 STARS = 0
+BITMAP = 1 << 27
 _WIN: dict[int, np.ndarray] = {}
 
 
@@ -134,6 +135,21 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, both, either)], ["a", "b", "both", "either"])
 
 
+def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """texts(id, ..) without most rows whose id is not in ids(id), so that the join that follows shuffles fewer texts.
+
+    A bitmap of hashed ids is broadcast: 16 bits an id, BITMAP bits (16 MB) at most. With more ids it lets more rows
+    pass; it never drops a row of ids, and the join decides.
+    """
+    ids = ids.distinct()
+    bits = min(BITMAP, -(-max(1, 16 * ids.count()) // 32768) * 32768)
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    maps = ids.select((bit / 32768).cast("int").alias("_part"), (bit % 32768).alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    hit = F.expr("shiftright(cast(conv(hex(substring(_map, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) & 1 = 1")
+    placed = texts.withColumn("_part", (bit / 32768).cast("int")).withColumn("_at", bit % 32768)
+    return placed.join(F.broadcast(maps), "_part").where(hit).select(*texts.columns)
+
+
 def compare(texts: DataFrame, pairs: DataFrame, width: int, per_chunk: int = 64) -> DataFrame:
     """The sizes of intersection and union of the full sets of each pair (x, p): (a, b, both, either).
 
@@ -196,7 +212,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     texts = base.select(F.col("doc_id").alias("id"), "text").where("id is not null")
     # rows that share a doc_id are one document: the text that gave the class stands for it
     pairs = cut(member.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("p")).distinct(), "pairs")
-    sims = cut(compare(texts, pairs, width), "sims")
+    paired = pairs.select(F.explode(F.array("x", "p")).alias("id"))
+    sims = cut(compare(likely(texts, paired), pairs, width), "sims")
     linked = f"100 * both >= {percent} * either"
     comp = cut(components(sims.where(linked).select("a", "b")), "comp")
     own = None
@@ -208,7 +225,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         if lab.isEmpty():
             break
         if own is None:  # only these texts are needed from here on
-            own = cut(texts.join(lab.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
+            still = lab.select(F.col("rep").alias("id")).distinct()
+            own = cut(likely(texts, still).join(still, "id", "left_semi"), "texts")
         fits = lambda x, y: percent * F.greatest(x, y) <= 100 * F.least(x, y)
         if turn < STARS:  # another member of each bucket is the pivot
             more = lab.where((F.col("comp") != F.col("m.comp")) & fits(F.col("size"), F.col("m.size"))).select(F.greatest("rep", "m.rep").alias("x"), F.least("rep", "m.rep").alias("p")).distinct()
