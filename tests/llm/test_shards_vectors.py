@@ -58,6 +58,44 @@ def test_rewrite_touches_only_what_moves(spark, tmp_path):
     assert R.op1_resharding is not None and R.reshard(cut(R.old_layout(df.where("false"), 4), "s"), None, 5, ["doc_id"])[0].count() == 0
 
 
+def test_rewrite_replaces_the_files_of_a_layout(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(400)], "doc_id long, text string")
+    uri = str(tmp_path / "o")
+    df.select("*", R.hash_shard(4).alias("shard")).write.partitionBy("shard").parquet(uri)
+    rows = cut(R.old_layout(df, 4), "sizes")
+    out, flow = R.reshard(rows, None, 5, ["doc_id", "text_crc32"])
+    R.rewrite(df, out, flow, uri, ["doc_id"])
+    got = spark.read.parquet(uri).collect()
+    assert sorted((r.doc_id, r.text, r.shard) for r in got) == sorted((r.doc_id, "x" * (r.doc_id % 7), r.shard) for r in out.collect())
+
+
+def test_layout_is_rewritten_whole(spark, tmp_path):
+    src, uri = str(tmp_path / "d"), str(tmp_path / "o")
+    base = [(i, f"text {i} " * (i % 9), i) for i in range(400)]
+    spark.createDataFrame(base + [(5, "same", 1), (5, "same", 1), (None, None, 2), (None, "x", 3)], "doc_id long, text string, shard int").write.parquet(src)
+    df = spark.read.parquet(src)
+    R.write_layout(df, 4, uri)
+    before = {n: sorted(p.name for p in (tmp_path / "o" / f"shard={n}").glob("*.parquet")) for n in range(4)}
+    sizes = {r.old: r.s for r in R.old_layout(df, 4).groupBy("old").sum("size").withColumnRenamed("sum(size)", "s").collect()}
+    got = R.reshard_files(spark, df.schema, uri, [sizes[0], sizes[1], sizes[2] - 2000, sizes[3], 2000], 5).collect()
+    after = {n: sorted(p.name for p in (tmp_path / "o" / f"shard={n}").glob("*.parquet")) for n in range(5)}
+    assert [after[n] == before[n] for n in range(4)] == [True, True, False, True] and after[4]
+    files = R.read_layout(spark, df.schema, uri).collect()
+    assert Counter(tuple(r.doc) for r in files) == Counter(tuple(r) for r in df.collect()) and len({r.row for r in files}) == 404
+    assert Counter((r.doc.doc_id, zlib.crc32((r.doc.text or "").encode()), r.shard) for r in files) == Counter((r.doc_id, r.text_crc32, r.shard) for r in got)
+    assert all(r.shard == r.old or (r.old, r.shard) == (2, 4) for r in got)
+    for n in range(5):
+        assert sorted(r.slot for r in got if r.shard == n) == list(range(sum(r.shard == n for r in files)))
+    assert not list(tmp_path.glob("*staged*"))
+    R.write_layout(df.where("false"), 4, str(tmp_path / "e"))
+    assert R.reshard_files(spark, df.schema, str(tmp_path / "e"), None, 5) is None
+
+
+def test_query_columns_come_from_rewritten_files(spark):
+    files = R.op1_resharding(spark, SF).inputFiles()
+    assert files and all("/shard=" in f for f in files)
+
+
 def brute(rows, t):
     vec = {}
     for i, v in rows:
