@@ -48,6 +48,19 @@ def test_markup():
     assert time.time() - t < 20
 
 
+def test_attribute_values_of_any_length():
+    for n in (10, 1001, 100_000):
+        for v in (f'"{"x" * n}>y"', f"'{'x' * n}<p class=\"ad\">y</p>'", f'"data:image/svg+xml,<svg a=\'1\'>{"x" * n}</svg>"'):
+            page = f"<article><div data-a={v} class=main>text</div><p title = {v}>more</article>"
+            assert H.leaf_blocks(page) == [(("article", "div main"), "text", 0), (("article", "p"), "more", 0)], v[:50]
+    assert H.leaf_blocks("<p 5\" x=it's>a<p>b \"c\" d's") == [(("p",), "a", 0), (("p",), "b \"c\" d's", 0)]
+    assert H.leaf_blocks('<p title="a>b<p>c') == [(("p",), "b", 0), (("p",), "c", 0)]
+    for bad in ('<a x="<b " ' + 'x="<b " ' * 100_000, "<a x='" + '<a x="' * 100_000, "<a " * 100_000, '<a x="<b y=\'" ' * 100_000):
+        t = time.time()
+        H.leaf_blocks(bad)
+        assert time.time() - t < 5
+
+
 def test_pages(spark):
     rows = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = H.op4_html(spark, SF).collect()

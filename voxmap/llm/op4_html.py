@@ -26,18 +26,51 @@ from pyspark.sql import functions as F
 
 from voxmap.llm._util import table
 
-# a tag ends before the next < outside quotes, and a quoted value is 1000 characters at most, so that broken markup is read in linear time
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"]{0,1000}+\"|'[^']{0,1000}+'|[^\"'<>])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)", re.S)
+_EASY = re.compile(r"(?:[ \t\n\f\r]++[a-zA-Z][\w:.-]*+=(?:\"[^\"<>]*+\"|'[^'<>]*+'))*+[ \t\n\f\r]*+/?>")
+#: an attribute up to the quote that opens its value, or whole; a quote opens a value only after =
+_OPEN = re.compile(r"[ \t\n\f\r/]*+=?+[^ \t\n\f\r/<>=]*+[ \t\n\f\r]*+(?:=[ \t\n\f\r]*+(?:([\"'])|[^ \t\n\f\r<>\"'][^ \t\n\f\r<>]*+)?)?+")
+_ATTR = re.compile(r"[ \t\n\f\r/]*+(=?+[^ \t\n\f\r/<>=]*+)[ \t\n\f\r]*+(?:=[ \t\n\f\r]*+(?:\"([^\"]*+)\"|'([^']*+)'|([^ \t\n\f\r<>\"'][^ \t\n\f\r<>]*+))?)?+")
+_FIRST = re.compile(r"[<>]")
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIP = frozenset("script style noscript template textarea select svg iframe object canvas head title audio video math".split())
 EMPTY = frozenset({"hr"})
+NAMING = frozenset({"class", "id", "role"})
 #: a start tag ends an open element of these kinds, up to the nearest of the others
 IMPLIED = {"p": ({"p"}, BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6"}), "li": ({"li"}, {"ul", "ol", "menu", "nav"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _BLOCK_ENDS_P = BLOCK - {"button", "label", "summary", "legend", "caption"}
 _NAME = re.compile(r"[a-z]+")
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the > of the tag stands whose name ends at `at`; -1: this is no tag.
+
+    Quoted values have any length. A tag ends before the next < outside quotes; one that does so without >, or with a
+    quote that nothing closes, ends at the first > before any <. dead: ends of values, from which earlier scans of the
+    page came to nothing; with it broken markup is read in linear time.
+    """
+    if m := _EASY.match(page, at):
+        return m.end() - 1
+    pos, seen = at, []
+    while pos not in dead:
+        m = _OPEN.match(page, pos)
+        if m[1]:
+            k = page.find(m[1], m.end())
+            if k < 0:
+                break
+            pos = k + 1
+            seen.append(pos)
+        elif m.end() > pos:
+            pos = m.end()
+        elif page[pos : pos + 1] == ">":
+            return pos
+        else:
+            break
+    dead.update(seen)
+    m = _FIRST.search(page, at)
+    return m.start() if m and m[0] == ">" else -1
+
+
 def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(stack of open block elements, text, characters of it in links); an element is 'tag' or 'tag word word ...'."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -69,32 +102,35 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag in barrier:
                 return
 
-    at, low = 0, None
+    at, look, low = 0, 0, None
     n = len(page)
+    dead: set[int] = set()
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, look)
         if m is None:
             add(page[at:])
             break
+        if m[2] and (stop := _tag_end(page, m.end(), dead)) < 0:
+            look = m.end()
+            continue
         add(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        at = look = stop + 1 if m[2] else m.end()
+        if not m[2]:
             continue
-        name, end, attrs = name.lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
+        name, end, attrs = m[2].lower(), bool(m[1]), page[m.end() : stop]
         if name in SKIP:
             if not end and not attrs.endswith("/"):
                 if name == "head":  # its end tag may be missing
                     if low is None:
                         low = page.lower()
-                    stop = [k for k in (low.find("</head", at), low.find("<body", at)) if k >= 0]
-                    at = min(stop) if stop else at
+                    ends = [k for k in (low.find("</head", at), low.find("<body", at)) if k >= 0]
+                    at = look = min(ends) if ends else at
                     continue
                 if low is None:
                     low = page.lower()
                 k = low.find(f"</{name}", at)
                 k = n if k < 0 else low.find(">", k)
-                at = n if k < 0 else min(n, k + 1)
+                at = look = n if k < 0 else min(n, k + 1)
             continue
         if name == "a":
             state[0] = 0 if end else 1
@@ -112,7 +148,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if name in IMPLIED:
                     close(*IMPLIED[name])
                 if name not in EMPTY:
-                    words = " ".join(w for a in _ATTR.finditer(attrs) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())) if attrs else ""
+                    words = " ".join(w for a in _ATTR.finditer(attrs) if a[1].lower() in NAMING for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())) if attrs else ""
                     stack.append(f"{name} {words}" if words else name)
     flush()
     return out
