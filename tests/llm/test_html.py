@@ -61,6 +61,11 @@ def test_attribute_values_of_any_length():
         assert time.time() - t < 5
 
 
+def test_letters_whose_lower_case_is_longer():
+    page = "<html><head><title>İİ</title></HEAD><body><p>İİİ İstanbul<SCRIPT>var a = 1;</Script>abc def</p><style>p</style>ghi<script>b</ſcript>c</script>jkl"
+    assert [t for _, t, _ in H.leaf_blocks(page)] == ["İİİ İstanbulabc def", "ghijkl"]
+
+
 def test_pages(spark):
     rows = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = H.op4_html(spark, SF).collect()

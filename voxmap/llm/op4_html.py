@@ -34,6 +34,8 @@ _ATTR = re.compile(r"[ \t\n\f\r/]*+(=?+[^ \t\n\f\r/<>=]*+)[ \t\n\f\r]*+(?:=[ \t\
 _FIRST = re.compile(r"[<>]")
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIP = frozenset("script style noscript template textarea select svg iframe object canvas head title audio video math".split())
+#: searched in the page itself: lower() changes its length ('İ'), and only ASCII letters of a tag name have two cases
+_ENDS = {name: re.compile("</head|<body" if name == "head" else f"</{name}", re.I | re.A) for name in SKIP}
 EMPTY = frozenset({"hr"})
 NAMING = frozenset({"class", "id", "role"})
 #: a start tag ends an open element of these kinds, up to the nearest of the others
@@ -102,7 +104,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag in barrier:
                 return
 
-    at, look, low = 0, 0, None
+    at, look = 0, 0
+    endless: set[str] = set()  # elements without an end tag from here on
     n = len(page)
     dead: set[int] = set()
     while at < n:
@@ -120,17 +123,14 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         name, end, attrs = m[2].lower(), bool(m[1]), page[m.end() : stop]
         if name in SKIP:
             if not end and not attrs.endswith("/"):
+                m = _ENDS[name].search(page, at) if name not in endless else None
+                if m is None:
+                    endless.add(name)
                 if name == "head":  # its end tag may be missing
-                    if low is None:
-                        low = page.lower()
-                    ends = [k for k in (low.find("</head", at), low.find("<body", at)) if k >= 0]
-                    at = look = min(ends) if ends else at
+                    at = look = m.start() if m else at
                     continue
-                if low is None:
-                    low = page.lower()
-                k = low.find(f"</{name}", at)
-                k = n if k < 0 else low.find(">", k)
-                at = look = n if k < 0 else min(n, k + 1)
+                k = page.find(">", m.end()) if m else -1
+                at = look = n if k < 0 else k + 1
             continue
         if name == "a":
             state[0] = 0 if end else 1
