@@ -58,6 +58,23 @@ def test_edited_passages(spark):
     assert want and {(r.d, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_repeated_shingles(spark):
+    rnd = random.Random(7)
+    items, docs = [], []
+    for i in range(12):  # one shingle more of the other kind
+        a, b = f"a{i}", f"b{i}"
+        items.append((i, " ".join([a, b] * 6 + [a])))
+        docs.append((i, " ".join([b, a] * 6 + [b])))
+    for i in range(12, 24):  # a run of one word in a passage of distinct words
+        w = [f"v{i}x{j}" for j in range(400)]
+        items.append((i, " ".join(w)))
+        p = rnd.randrange(100, 250)
+        docs.append((i, " ".join(w[:p] + ["la"] * 40 + w[p + 40 :])))
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute(docs, items)
+    assert len(want) == 24 and {(r.d, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "..."), (4, "One two, THREE four five six seven."), (4, "One two, THREE four five six seven."), (None, "one two three four five six seven"), (5, "ab"), (6, "x ab y"), (7, "la " * 300), (8, "one two three four five")]
     items = [(10, "one two three four five six seven"), (11, None), (12, "!"), (13, "Ab"), (14, "la la la la la la la la"), (15, "ONE two three four five six seven")]

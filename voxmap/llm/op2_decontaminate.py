@@ -6,7 +6,9 @@ of a window and an item is the sum of the smaller weights over the sum of the la
 
 1. A window that reaches the threshold shares many shingles with its item, so windows start or end at a shingle of the
    item (moving a window up to the next such shingle loses none), and those with too few of them are out of reach.
-2. Each remaining window and each item get a 64-bit SimHash. Fingerprints are cut in RADIUS + 1 blocks; two within
+2. Each remaining window and each item get a 64-bit SimHash of their shingles, the n-th occurrence of a shingle hashed
+   with n: all elements are distinct and weigh the same, and their Jaccard similarity is that of the weights. So a
+   repeated shingle does not rule a print. Fingerprints are cut in RADIUS + 1 blocks; two within
    RADIUS bits agree in a block at least, so the equi-join on blocks finds all of them.
 3. The exact similarity decides.
 
@@ -56,6 +58,11 @@ def _simhash(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
     return lanes.select(*keys, fp.alias("fp"))
 
 
+def _numbered(counts: DataFrame, c: str) -> DataFrame:
+    """A row for each occurrence of a shingle: h is hashed with the occurrence's number; c: the column of counts."""
+    return counts.withColumn("nth", F.explode(F.expr(f"sequence(1L, {c})"))).withColumn("h", F.xxhash64("h", "nth")).drop("nth", c)
+
+
 def _blocks(fp: str, radius: int):
     """(block number, bits) of a fingerprint's radius + 1 blocks."""
     cuts = [64 * b // (radius + 1) for b in range(radius + 2)]
@@ -103,11 +110,14 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int =
     few = _join(texts, wins.select(*KEY).distinct(), KEY).dropDuplicates(KEY)
     rows = None
     for k in widths:
-        one = _join(wins.where(F.col("k") == k), _hashed(few, KEY, k), KEY).select(*KEY, "iid", "start", "size", F.explode(F.slice("hs", F.col("start") + 1, F.col("size"))).alias("h"))
+        one = _join(wins.where(F.col("k") == k), _hashed(few, KEY, k), KEY).select(*KEY, "iid", "start", "size", F.slice("hs", F.col("start") + 1, F.col("size")).alias("own"))
         rows = one if rows is None else rows.union(one)
+    # a window's shingles are counted and summed where the window is
+    spots = [*KEY, "iid", "start", "size"]
+    rows = _numbered(rows.repartition(*KEY, "iid", "start").select(*spots, F.explode("own").alias("h")).groupBy(*spots, "h").agg(F.count(F.lit(1)).alias("c")), "c")
     # written: the fingerprint is a large expression, and its blocks would hold 25 copies of it
     prints = cut(_simhash(rows, [*KEY, "iid", "start"], "size"), "prints").withColumn("b", F.explode(_blocks("fp", radius)))
-    goal = cut(_simhash(item_rows.select("iid", "m", "h"), ["iid"], "m"), "goals").select(F.col("iid").alias("i2"), F.col("fp").alias("fp2"), F.explode(_blocks("fp", radius)).alias("b2"))
+    goal = cut(_simhash(_numbered(shingles.select("iid", "m", "h", "c"), "c"), ["iid"], "m"), "goals").select(F.col("iid").alias("i2"), F.col("fp").alias("fp2"), F.explode(_blocks("fp", radius)).alias("b2"))
     close = prints.join(goal, (F.col("iid") == F.col("i2")) & (F.col("b.no") == F.col("b2.no")) & (F.col("b.bits") == F.col("b2.bits"))).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select(*KEY, "iid", "start").distinct()
     # exact: what a window has of each shingle; windows meet shingles by place / size, so a long document stays linear
     close = _join(close, wins, [*KEY, "iid", "start"]).withColumn("cell", F.explode(F.array_distinct(F.array(F.expr("start div size"), F.expr("(start + size - 1) div size")))))
