@@ -48,7 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining documents packed into sequences of at most 4096 tokens."""
-    return op6_packing.pack(cut(op6_packing.cut_and_encode(docs, tokenizer_path("word_bpe_49k.json")), "pieces"))
+    return op6_packing.pack(cut(op6_packing.cut_and_encode(docs, tokenizer_path("word_bpe_49k.json"), added=True), "pieces"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("decontaminate", decontaminate), ("pack", pack)]

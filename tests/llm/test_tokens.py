@@ -30,6 +30,24 @@ def test_pieces_give_the_ids_of_the_text(path, spaced, end):
         assert ids.tolist() == [*tok.encode(texts[r] or "", add_special_tokens=False).ids, end], repr(texts[r])
 
 
+@pytest.mark.parametrize(("path", "spaced", "end"), [(BYTE, True, 0), (WORD, False, 1)])
+def test_added_tokens_as_in_a_plain_call(path, spaced, end):
+    texts = [*strange(), "a<|endoftext|>b", "<|EndOfText|> <|startoftext|>", "x <|endoftext|>", "x <|EndOfText|>", "<|startoftext|>\xa0<|endoftext|>"]
+    tok = Tokenizer.from_file(path)
+    for r, ids in encoded_rows(pa.array(texts), path, spaced, end, added=True):
+        assert ids.tolist() == [*tok.encode(texts[r] or "", add_special_tokens=False).ids, end], repr(texts[r])
+
+
+def test_queries_encode_as_the_plain_library(spark, tmp_path):
+    rows = [(1, "one <|endoftext|> two"), (2, "<|STARTOFTEXT|> three <|startoftext|>"), (3, "four")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for f, path, end, n in ((P10.op10_tokenfile, BYTE, 0, "n_tokens"), (P6.op6_packing, WORD, 1, "length")):
+        tok = Tokenizer.from_file(path)
+        want = {i: [*tok.encode(t, add_special_tokens=False).ids, end] for i, t in rows}
+        got = {r.doc_id: (r[n], r.ids_crc32) for r in f(spark, str(tmp_path)).collect()}
+        assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_files_round_trip(spark, tmp_path):
     texts = strange(60)
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (3, "again"), (3, "again")]

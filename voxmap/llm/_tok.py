@@ -4,6 +4,9 @@ A text is cut only where its tokenizer always begins a new pre-token: at ASCII w
 and one of . , ! ? ; : after it. So the ids of the pieces, in order, are the ids of the text. Pieces are found and
 looked up by 64-bit hash in numpy; the library encodes those not seen before. The memory of pieces is emptied when it
 holds MEMO pieces: a bound on memory, not on results.
+
+With `added`, an added token that stands in a text ('<|endoftext|>') has its own id, as in a plain library call, and the
+text is encoded in one piece; without, it is ordinary text.
 """
 
 from __future__ import annotations
@@ -22,16 +25,18 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 #: white space, or taken for it by some library, beyond \x20 and \x09-\x0D: such texts are encoded in one piece
 _ODD = [bytes([c]) for c in range(0x1C, 0x20)] + [s.encode() for s in "\x85\xa0   　"] + [b"\xe2\x80"]
-_CODERS: dict[tuple[str, bool], Coder] = {}
+_CODERS: dict[tuple[str, bool, bool], Coder] = {}
 
 
 class Coder:
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, added: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        #: in lower case, as the memory of pieces may be
+        self.added = [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()] if added else []
         self.spaced = spaced
         self.clear()
 
@@ -98,20 +103,21 @@ class Coder:
         return self.flat[np.repeat(s - to[:-1], c) + np.arange(to[-1])], to[first]
 
 
-def coder(path: str, spaced: bool) -> Coder:
-    if (path, spaced) not in _CODERS:
-        _CODERS[path, spaced] = Coder(path, spaced)
-    return _CODERS[path, spaced]
+def coder(path: str, spaced: bool, added: bool) -> Coder:
+    if (path, spaced, added) not in _CODERS:
+        _CODERS[path, spaced, added] = Coder(path, spaced, added)
+    return _CODERS[path, spaced, added]
 
 
-def encoded_rows(col: pa.Array, path: str, spaced: bool, end_id: int):
+def encoded_rows(col: pa.Array, path: str, spaced: bool, end_id: int, added: bool = False):
     """(row, uint32 ids of the whole text and end_id) for each row of a string column; null is empty."""
-    c, end = coder(path, spaced), np.array([end_id], np.uint32)
+    c, end = coder(path, spaced, added), np.array([end_id], np.uint32)
     for lo, _, buf, off in X.text_chunks(col, 4 << 20):
         raw = buf.tobytes()
-        odd = []
-        if spaced and any(o in raw for o in _ODD):
-            odd = [r for r in range(len(off) - 1) if any(o in raw[off[r] : off[r + 1]] for o in _ODD)]
+        low = raw.lower() if c.added else b""
+        whole = [(raw, _ODD)] if spaced and any(o in raw for o in _ODD) else []
+        whole += [(low, c.added)] if any(t in low for t in c.added) else []
+        odd = [r for r in range(len(off) - 1) if any(o in text[off[r] : off[r + 1]] for text, marks in whole for o in marks)] if whole else []
         alone = {r: np.array(c.library([raw[off[r] : off[r + 1]].decode("utf-8", "replace")])[0], np.uint32) for r in odd}
         ids, at = c.encode(buf, off)
         for r in range(len(off) - 1):

@@ -105,20 +105,20 @@ class ShardReader:
         return ids
 
 
-def _sample_ids(path: str, end_id: int):
+def _sample_ids(path: str, end_id: int, added: bool):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([i[:SAMPLE_IDS].astype("<u4").tobytes() for _, i in encoded_rows(b.column(0), path, True, end_id)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([i[:SAMPLE_IDS].astype("<u4").tobytes() for _, i in encoded_rows(b.column(0), path, True, end_id, added)], pa.binary())], ["ids"])
 
     return run
 
 
-def _write(uri: str, path: str, dictionary: bytes, end_id: int):
+def _write(uri: str, path: str, dictionary: bytes, end_id: int, added: bool):
     def run(batches):
         w, first = None, None
         for b in batches:
             ids, crc = b.column(0).to_pylist(), b.column(2)
-            for r, one in encoded_rows(b.column(1), path, True, end_id):
+            for r, one in encoded_rows(b.column(1), path, True, end_id, added):
                 if w is None:
                     name = f"{uri}/shard-{uuid.uuid4().hex}.vxids"
                     w, first = ShardWriter(name, dictionary), (ids[r], crc[r].as_py())
@@ -144,19 +144,19 @@ def _read(dictionary: bytes):
     return run
 
 
-def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0) -> list[dict]:
+def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, added: bool = False) -> list[dict]:
     """Write all documents' ids under uri in ascending doc_id order; returns the manifest (one entry per shard file)."""
     f, path = open_dir(uri)
     f.create_dir(path, recursive=True)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = base.withColumn("crc", F.crc32(F.col("text").cast("binary")))
     few = base.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE).select("text")
-    samples = [r.ids for r in few.mapInArrow(_sample_ids(tokenizer, end_id), "ids binary").toLocalIterator()]
+    samples = [r.ids for r in few.mapInArrow(_sample_ids(tokenizer, end_id, added), "ids binary").toLocalIterator()]
     dictionary = train_dictionary([bytes(s) for s in samples])
     with f.open_output_stream(f"{path}/dictionary.zdict") as out:
         out.write(dictionary)
     dealt = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("crc")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
-    made = dealt.mapInArrow(_write(uri, tokenizer, dictionary, end_id), "path string, first_id long, first_crc long, docs long, ids long").collect()  # a row per file
+    made = dealt.mapInArrow(_write(uri, tokenizer, dictionary, end_id, added), "path string, first_id long, first_crc long, docs long, ids long").collect()  # a row per file
     made.sort(key=lambda r: (r.first_id is not None, r.first_id or 0, r.first_crc))
     start, manifest = 0, []
     for r in made:
@@ -189,5 +189,5 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
 def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' byte-level BPE ids written to token files and read back from them."""
     uri = new_path(spark, "token-files")
-    write_token_files(table(spark, sf_dir, "documents"), uri, tokenizer_path("byte_bpe_50k.json"))
+    write_token_files(table(spark, sf_dir, "documents"), uri, tokenizer_path("byte_bpe_50k.json"), added=True)
     return read_token_files(spark, uri)

@@ -28,11 +28,11 @@ from voxmap.llm.op10_tokenfile import tokenizer_path
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, added: bool):
     def run(batches):
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for r, ids in encoded_rows(b.column(1), path, False, end_id):
+            for r, ids in encoded_rows(b.column(1), path, False, end_id, added):
                 raw = ids.astype("<u4").tobytes()
                 for k in range(0, len(ids), capacity):
                     row.append(r)
@@ -121,9 +121,9 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return slots, total
 
 
-def cut_and_encode(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
+def cut_and_encode(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, added: bool = False) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(_pieces(tokenizer, end_id, capacity), PIECES)
+    return base.mapInArrow(_pieces(tokenizer, end_id, capacity, added), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -151,4 +151,4 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     docs = table(spark, sf_dir, "documents")
-    return pack(cut(cut_and_encode(docs, tokenizer_path("word_bpe_49k.json")), "pieces"))
+    return pack(cut(cut_and_encode(docs, tokenizer_path("word_bpe_49k.json"), added=True), "pieces"))
