@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and the master is local (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster's executors need a shared folder")
         d = getattr(spark, "_voxmap_shared", None)
         if not d:
             d = "file://" + tempfile.mkdtemp(prefix="voxmap-")
@@ -106,5 +108,38 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
+class Members:
+    """A test that every row of keys passes, and few others: a bitmap of hashed keys, made by the executors.
+
+    It has about 64 bits a key and MOST_BITS bits (8 MB) at most, so it may be sent to all tasks whatever the input. Two
+    bits are set for a key; with more than a million keys more and more other rows pass. It only spares a shuffle the
+    rows that can't match: whoever uses it joins or counts what is left, so the number of keys changes no result.
+    """
+
+    MOST_BITS = 1 << 26
+
+    def __init__(self, keys: DataFrame, *cols: str):
+        n = keys.count()
+        self.bits = min(self.MOST_BITS, 1 << max(12, (64 * n - 1).bit_length() if n else 0))
+        at = keys.select(F.explode(F.array(*self._places([F.col(c) for c in cols]))).alias("at"))
+        words = at.groupBy((F.shiftright("at", 6)).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        every = keys.sparkSession.range(self.bits // 64)
+        dense = every.join(words, every.id == words.word, "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("m"))
+        self.map = cut(dense.select(F.transform("m", lambda x: x.bits).alias("m")), "members").scalar()
+
+    def _places(self, cols: list) -> list:
+        h, mask = F.xxhash64(*cols), F.lit(self.bits - 1)
+        return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask)]
+
+    def has(self, *cols):
+        """A condition: these values may be a key."""
+        out = None
+        for p in self._places(list(cols)):
+            word = F.get(self.map, F.shiftright(p, 6).cast("int"))
+            one = F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+            out = one if out is None else out & one
+        return out
+
+
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], T.StructType.fromDDL(ddl))

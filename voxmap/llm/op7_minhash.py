@@ -5,11 +5,17 @@ second (pi) ranks the places and is shifted circularly by k for coordinate k. So
 coordinates of a shingle. Coordinates are banded; documents that share a band bucket are candidates, and links are
 confirmed by exact Jaccard similarity on the full shingle sets of whole texts.
 
-Hot groups: texts with one shingle set are one class from the start, bucket members are compared with the bucket's
-smallest member first (a star: as many pairs as members), then, where a bucket still holds several components, with STARS
-other members in turn (none by default: each turn is a pass of its own). For what is left open after that, a prefix filter over the open documents (shingles in ascending
-frequency; two sets at the threshold share one of their rarest 20 %) gives every pair of different components that can
-still be a link, so no link is lost. No bucket is gathered in a task and no bucket is capped.
+Hot groups: texts with one shingle set are one class from the start. Bucket members are compared with the bucket's
+PIVOTS smallest members (stars: a few pairs a member, never all pairs). Buckets of PIVOTS + 1 members are done with that;
+for larger ones that still hold several components, a prefix filter over their documents (shingles in a fixed order;
+two sets at the threshold share one of their first 20 %) gives every pair of different components that can still be a
+link, so no link is lost. No bucket is gathered in a task and no bucket is capped.
+
+Candidates go to the exact comparison if sizes allow the threshold and if a sketch (a byte of each coordinate) agrees in
+more than SKETCH of its places: at similarity 0.8, of 128 places fewer than 60 % agree with a probability below 1e-7.
+
+Only band keys that occur twice, and only texts that stand in a pair, are shuffled (`Members`). Joins do not depend on
+Spark's size estimates, so a large input runs the plan of a small one.
 
 Defined results: a null or blank text has an empty set and links with nothing; rows that share a doc_id are one
 document; rows with a null doc_id get a null component_id (unless a class mate has an id) and kept = false. Other
@@ -27,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxmap.llm import _text as X
-from voxmap.llm._util import components, cut, table
+from voxmap.llm._util import Members, components, cut, forget, table
 
 RING_BITS = 20
 BANDS, ROWS = 32, 4
-STARS = 0
-BITMAP = 1 << 27
+PIVOTS = 3
+SKETCH = 0.6
 _WIN: dict[int, np.ndarray] = {}
 
 
@@ -86,16 +92,18 @@ def _sign(width: int, bands: int, rows: int):
             for batch in batches:
                 n = batch.num_rows
                 size, s1, s2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-                keys = []
+                keys, sketch = [], [None] * n
                 for r, u in shingle_sets(batch.column(1), width):
                     size[r] = len(u)
                     if len(u):
                         d = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
                         s1[r], s2[r] = np.frombuffer(d, np.int64)
-                        sig = signature((u >> np.uint64(64 - RING_BITS)).astype(np.int64), k).astype(np.uint64).reshape(bands, rows)
+                        sig = signature((u >> np.uint64(64 - RING_BITS)).astype(np.int64), k).astype(np.uint64)
+                        sketch[r] = X.mix(sig).astype(np.uint8).tobytes()
+                        sig = sig.reshape(bands, rows)
                         keys.append(X.mix((sig * mul).sum(axis=1, dtype=np.uint64) ^ salt).view(np.int64))
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(s1), pa.array(s2), X.lists(np.where(size > 0, bands, 0), flat, pa.int64())], ["doc_id", "n_shingles", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(s1), pa.array(s2), X.lists(np.where(size > 0, bands, 0), flat, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch"])
 
     return run
 
@@ -135,30 +143,32 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, both, either)], ["a", "b", "both", "either"])
 
 
-def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """texts(id, ..) without most rows whose id is not in ids(id), so that the join that follows shuffles fewer texts.
+def _alike(batches):
+    """(x, p, sketch of x, sketch of p) -> the pairs (x, p) whose sketches agree in more than SKETCH of the places."""
+    for b in batches:
+        if b.num_rows:
+            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            ok = (one == two).mean(axis=1) >= SKETCH
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in (0, 1)], ["x", "p"])
 
-    A bitmap of hashed ids is broadcast: 16 bits an id, BITMAP bits (16 MB) at most. With more ids it lets more rows
-    pass; it never drops a row of ids, and the join decides.
-    """
-    ids = ids.distinct()
-    bits = min(BITMAP, -(-max(1, 16 * ids.count()) // 32768) * 32768)
-    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
-    maps = ids.select((bit / 32768).cast("int").alias("_part"), (bit % 32768).alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_map"))
-    hit = F.expr("shiftright(cast(conv(hex(substring(_map, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) & 1 = 1")
-    placed = texts.withColumn("_part", (bit / 32768).cast("int")).withColumn("_at", bit % 32768)
-    return placed.join(F.broadcast(maps), "_part").where(hit).select(*texts.columns)
+
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (x, p) that the sketches(rep, sketch) do not rule out."""
+    two = pairs.hint("merge").join(sketches.select(F.col("rep").alias("x"), F.col("sketch").alias("sx")).hint("merge"), "x").join(sketches.select(F.col("rep").alias("p"), F.col("sketch").alias("sp")).hint("merge"), "p")
+    return two.select("x", "p", "sx", "sp").mapInArrow(_alike, "x long, p long")
 
 
 def compare(texts: DataFrame, pairs: DataFrame, width: int, per_chunk: int = 64) -> DataFrame:
     """The sizes of intersection and union of the full sets of each pair (x, p): (a, b, both, either).
 
-    Members of a pivot with many are spread over chunks; each chunk gets one copy of the pivot's set.
+    pairs is a written table. Members of a pivot with many are spread over chunks; each chunk gets one copy of the
+    pivot's set.
     """
+    ids = Members(pairs.select(F.explode(F.array("x", "p")).alias("id")).distinct(), "id")
     n = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    with_chunk = pairs.join(n, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / per_chunk)).cast("int").alias("chunk"))
+    with_chunk = pairs.hint("merge").join(n.hint("merge"), "p").select("x", "p", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / per_chunk)).cast("int").alias("chunk"))
     need = with_chunk.select(F.col("x").alias("id"), "p", "chunk", F.lit(0).alias("role")).unionByName(with_chunk.select(F.col("p").alias("id"), "p", "chunk", F.lit(1).alias("role")).distinct())
-    sets = need.join(texts, "id").select("id", "p", "chunk", "role", "text").mapInArrow(_emit_sets(width), "id long, p long, chunk int, role int, set binary")
+    sets = need.hint("merge").join(texts.where(ids.has("id")).hint("merge"), "id").select("id", "p", "chunk", "role", "text").mapInArrow(_emit_sets(width), "id long, p long, chunk int, role int, set binary")
     return sets.repartition("p", "chunk").sortWithinPartitions("p", "chunk", F.desc("role")).mapInArrow(_compare, "a long, b long, both long, either long")
 
 
@@ -196,48 +206,59 @@ def sharing_prefixes(texts: DataFrame, docs: DataFrame, width: int, percent: int
     return x.join(y, on).select(F.greatest("x.rep", "y.rep").alias("x"), F.least("x.rep", "y.rep").alias("p")).distinct()
 
 
+def join_components(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp(node, comp) with the further links(a, b): only components that a link joins are looked at again."""
+    edges = links
+    for end in ("a", "b"):
+        edges = edges.hint("merge").join(comp.select(F.col("node").alias(end), F.col("comp").alias("_c")).hint("merge"), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    up = cut(components(edges), "joined")
+    old = comp.hint("merge").join(up.select(F.col("node").alias("comp"), F.col("comp").alias("_c")).hint("merge"), "comp", "left").select("node", F.coalesce("_c", "comp").alias("comp"))
+    return old.union(up.hint("merge").join(comp.select("node").hint("merge"), "node", "left_anti").select("node", "comp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
 
     A pair at exactly the threshold s misses all bands with probability (1 - s^rows)^bands: 5e-8 at 0.8, less above.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(base.mapInArrow(_sign(width, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "minhash")
+    signed = cut(base.mapInArrow(_sign(width, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sketch binary"), "minhash")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     # a class: all documents with one shingle set; its smallest id stands for it
-    classes = cut(some.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "keys", "n_shingles")).alias("m"), F.count(F.lit(1)).alias("n")).select("s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys"), F.col("m.n_shingles").alias("size")), "classes")
+    classes = cut(some.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "keys", "sketch", "n_shingles")).alias("m")).select("s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys"), F.col("m.sketch").alias("sketch"), F.col("m.n_shingles").alias("size")), "classes")
     member = classes.select(F.explode("keys").alias("key"), "rep", "size")
-    bucket = member.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
-    member = cut(member.join(bucket, "key"), "members")
+    twice = cut(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n"), "buckets")
+    member = cut(member.where(Members(twice, "key").has("key")).hint("merge").join(twice.hint("merge"), "key"), "members")
+    # a bucket's smallest members, one after the other
+    stars, last = None, None
+    for _ in range(PIVOTS):
+        over = member if last is None else member.hint("merge").join(last.select("key", F.col("p.rep").alias("_after")).hint("merge"), "key").where("rep > _after")
+        last = cut(over.groupBy("key").agg(F.min(F.struct("rep", "size")).alias("p")), "pivots")
+        stars = last if stars is None else stars.union(last)
+    fits = lambda x, y: percent * F.greatest(x, y) <= 100 * F.least(x, y)
+    met = member.hint("merge").join(stars.groupBy("key").agg(F.collect_list("p").alias("ps")).hint("merge"), "key")  # PIVOTS at most
+    met = met.select("rep", "size", F.explode("ps").alias("q")).where((F.col("q.rep") < F.col("rep")) & fits(F.col("size"), F.col("q.size")))
+    pairs = met.select(F.col("rep").alias("x"), F.col("q.rep").alias("p")).distinct()
+    sketches = classes.select("rep", "sketch")
+    pairs = cut(alike(pairs, sketches), "pairs")
     texts = base.select(F.col("doc_id").alias("id"), "text").where("id is not null")
     # rows that share a doc_id are one document: the text that gave the class stands for it
-    pairs = cut(member.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("p")).distinct(), "pairs")
-    paired = pairs.select(F.explode(F.array("x", "p")).alias("id"))
-    sims = cut(compare(likely(texts, paired), pairs, width), "sims")
+    sims = cut(compare(texts, pairs, width), "sims")
     linked = f"100 * both >= {percent} * either"
     comp = cut(components(sims.where(linked).select("a", "b")), "comp")
-    own = None
-    for turn in range(STARS + 1):
-        # what the stars so far can't see: members of one bucket that are in different components still
-        lab = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
-        open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp", "size")).alias("m")).where("lo < hi").select("key", "m")
-        lab = cut(lab.join(open_, "key"), "open")
-        if lab.isEmpty():
-            break
-        if own is None:  # only these texts are needed from here on
-            still = lab.select(F.col("rep").alias("id")).distinct()
-            own = cut(likely(texts, still).join(still, "id", "left_semi"), "texts")
-        fits = lambda x, y: percent * F.greatest(x, y) <= 100 * F.least(x, y)
-        if turn < STARS:  # another member of each bucket is the pivot
-            more = lab.where((F.col("comp") != F.col("m.comp")) & fits(F.col("size"), F.col("m.size"))).select(F.greatest("rep", "m.rep").alias("x"), F.least("rep", "m.rep").alias("p")).distinct()
-        else:
-            more = sharing_prefixes(own, lab.select("rep", "size", "comp").distinct(), width, percent)
-        more = cut(more.join(sims.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("p")), ["x", "p"], "left_anti"), "more")
+    # what the stars can't see: members of one large bucket that are in different components still
+    lab = member.where(F.col("n") > PIVOTS + 1).hint("merge").join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
+    open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    still = cut(lab.hint("merge").join(open_.hint("merge"), "key").select("rep", "size", "comp").distinct(), "open")
+    if not still.isEmpty():
+        ids = Members(still, "rep")
+        own = texts.where(ids.has("id")).hint("merge").join(still.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
+        more = cut(alike(sharing_prefixes(own, still, width, percent), sketches).hint("merge").join(sims.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("p")).hint("merge"), ["x", "p"], "left_anti"), "more")
         if not more.isEmpty():
-            sims = cut(sims.unionByName(compare(own, more, width)), "sims")
-            comp = cut(components(sims.where(linked).select("a", "b")), "comp")
-    of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"], "left")
+            comp = cut(join_components(comp, compare(texts, more, width).where(linked).select("a", "b")), "comp")
+    forget(member)
+    of_class = classes.select("s1", "s2", "rep").hint("merge").join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "s1", "s2").hint("merge").join(of_class.hint("merge"), ["s1", "s2"], "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"))
 
