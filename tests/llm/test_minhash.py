@@ -44,7 +44,7 @@ def test_against_brute_force(spark):
 def test_edges(spark):
     w = [f"w{i}" for i in range(40)]
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "oNE"), (6, " ".join(w)), (7, " ".join(w)), (8, " ".join(w[:36])), (9, " ".join(w[:32])), (10, "É é"), (11, "é é"), (None, "one"), (None, "lonely words here"), (12, "x" * 3_000_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'a' as key", "1 as p", "2 as size", "3 as comp", "'n' as rep")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'a' as key", "1 as p", "2 as size", "4 as d", "5 as t1", "3 as comp", "'n' as rep")
     got = {r.doc_id: r for r in M.near_duplicates(df, 2, 80).where("doc_id is not null").collect()}
     assert got[1].n_shingles == 0 and got[1].kept and got[3].component_id == 3
     assert got[5].component_id == 4 and not got[5].kept

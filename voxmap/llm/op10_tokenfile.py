@@ -6,8 +6,8 @@ A folder holds `dictionary.zdict`, one shard file per range of documents and `ma
 
 The index has, per document, whether doc_id is set, doc_id, where the frame begins, and the number of ids, so a short
 document is read with one seek. The header names the SHA-256 of the dictionary; a reader refuses another dictionary.
-The dictionary is trained on the serialized ids of a bounded sample of documents (SAMPLE documents of SAMPLE_IDS ids at
-most), the files hold all ids of all documents.
+The dictionary is trained on the serialized ids of a bounded sample of documents (SAMPLE documents on the
+average, those with a small hash, of SAMPLE_IDS ids at most), the files hold all ids of all documents.
 
 Documents are dealt by ranges of (doc_id, crc32 of the text), so equal doc_ids do not meet in one task. A shard is
 written under a name of its own for each attempt; only those in the manifest count, so a task that ran twice does no
@@ -150,7 +150,8 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0
     f.create_dir(path, recursive=True)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = base.withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    few = base.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE).select("text")
+    # the texts with a small hash, SAMPLE of them on the average: they are picked where they are
+    few = base.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= int(min(1.0, SAMPLE / max(1, base.count())) * ((1 << 63) - 1))).select("text")
     samples = [r.ids for r in few.mapInArrow(_sample_ids(tokenizer, end_id, added), "ids binary").toLocalIterator()]
     dictionary = train_dictionary([bytes(s) for s in samples])
     with f.open_output_stream(f"{path}/dictionary.zdict") as out:

@@ -4,16 +4,19 @@ Words are maximal runs of letters and digits, in lower case; shingles are `width
 words is one shingle). Windows have an item's size. The weight of a shingle is how often it occurs, and the similarity
 of a window and an item is the sum of the smaller weights over the sum of the larger ones.
 
-1. A window that reaches the threshold shares many shingles with its item, so windows start or end at a shingle of the
-   item (moving a window up to the next such shingle loses none), and those with too few of them are out of reach.
-2. Each remaining window and each item get a 64-bit SimHash of their shingles, the n-th occurrence of a shingle hashed
-   with n: all elements are distinct and weigh the same, and their Jaccard similarity is that of the weights. So a
-   repeated shingle does not rule a print. Fingerprints are cut in RADIUS + 1 blocks; two within
-   RADIUS bits agree in a block at least, so the equi-join on blocks finds all of them.
+1. Windows. For each item size, windows start or end at a shingle that some item of that size holds (moving a window up
+   to the next such shingle loses none), and hold as many of those shingles as the threshold asks for at least. This
+   loses no match and tells no item from another. It is one pass over the texts against a bitmap of the items' shingles;
+   the second pass hashes only the documents that have such a window, so no text is shuffled.
+2. Candidates. Windows of one content are one. Each and every item get a 64-bit SimHash of their shingles, the n-th
+   occurrence of a shingle hashed with n: all elements are distinct and weigh the same, and their Jaccard similarity is
+   that of the weights. Fingerprints are cut in BLOCKS blocks. Two within RADIUS bits differ in RADIUS div BLOCKS bits at
+   most in some block, so the index holds all values that near to each block of each item, and an equi-join on item size,
+   block number and block value finds every pair within RADIUS. Only these pairs go on.
 3. The exact similarity decides.
 
 Step 1 loses nothing. In step 2 a window at similarity 0.8 differs in about 10 of 64 bits; more than RADIUS = 24 bits
-differ with a probability below 1e-5, less above 0.8.
+differ with a probability below 1e-5, less above 0.8 (test_recall_by_item_size).
 
 DataFrame operations only. The item side is broadcast while it has BROADCAST shingles at most and is shuffled beyond.
 
@@ -27,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmap.llm._util import cut, empty, table
-from voxmap.llm.op3_lines import KEY, _join, _key
+from voxmap.llm._util import Members, cut, empty, table
+from voxmap.llm.op3_lines import KEY, _join, _key, without
 
-WIDTH, PERCENT, RADIUS, BROADCAST = 5, 80, 24, 500_000
+WIDTH, PERCENT, RADIUS, BLOCKS, BROADCAST = 5, 80, 24, 5, 500_000
 
 
 def _words(text: str):
@@ -46,7 +49,7 @@ def _hashed(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return df.select(*keys, F.expr(hs).alias("hs")).where("hs is not null")
 
 
-def _simhash(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
+def _simhash(rows: DataFrame, keys: list[str], n: str, keep: bool = False) -> DataFrame:
     """A 64-bit fingerprint per key from rows with a hash column h; n: the column with the number of rows of the key."""
     # two 32-bit counters in each sum
     lanes = rows.groupBy(*keys, n).agg(*[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(0x0000000100000001))).alias(f"s{k}") for k in range(32)])
@@ -55,7 +58,7 @@ def _simhash(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
         for part, shift in ((F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), k), (F.shiftrightunsigned(f"s{k}", 32), k + 32)):
             bit = F.shiftleft((2 * part > F.col(n)).cast("long"), shift)
             fp = bit if fp is None else fp.bitwiseOR(bit)
-    return lanes.select(*keys, fp.alias("fp"))
+    return lanes.select(*keys, *[n] * keep, fp.alias("fp"))
 
 
 def _numbered(counts: DataFrame, c: str) -> DataFrame:
@@ -63,10 +66,28 @@ def _numbered(counts: DataFrame, c: str) -> DataFrame:
     return counts.withColumn("nth", F.explode(F.expr(f"sequence(1L, {c})"))).withColumn("h", F.xxhash64("h", "nth")).drop("nth", c)
 
 
-def _blocks(fp: str, radius: int):
-    """(block number, bits) of a fingerprint's radius + 1 blocks."""
-    cuts = [64 * b // (radius + 1) for b in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(b).alias("no"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def _blocks(fp: str) -> list:
+    """(block number, width, bits) of a fingerprint's blocks."""
+    cuts = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
+    return [(b, hi - lo, F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def _index(prints: DataFrame, radius: int) -> DataFrame:
+    """For each row and block, all block values within radius div BLOCKS bits: no, bits, and the columns of prints."""
+    def around(b: int, w: int, bits):
+        few = F.filter(F.sequence(F.lit(0), F.lit((1 << w) - 1)), lambda x: F.bit_count(x) <= radius // BLOCKS)
+        return F.transform(few, lambda x: F.struct(F.lit(b).alias("no"), bits.bitwiseXOR(x.cast("long")).alias("bits")))
+
+    near = [around(*x) for x in _blocks("fp")]
+    return prints.select("*", F.explode(F.flatten(F.array(*near))).alias("b")).select(*prints.columns, "b.no", "b.bits")
+
+
+def candidates(windows: DataFrame, goals: DataFrame, radius: int) -> DataFrame:
+    """All (window columns, iid) of windows(.., k, m, fp) and goals(iid, k, m, fp) of equal k and m within radius bits."""
+    parts = windows.select("*", F.explode(F.array(*[F.struct(F.lit(b).alias("no"), bits.alias("bits")) for b, _, bits in _blocks("fp")])).alias("b")).select(*windows.columns, "b.no", "b.bits")
+    index = _index(goals.select("iid", F.col("k").alias("_k"), F.col("m").alias("_m"), "fp"), radius).select("iid", "_k", "_m", F.col("fp").alias("_fp"), F.col("no").alias("_no"), F.col("bits").alias("_bits"))
+    met = parts.join(index, (F.col("k") == F.col("_k")) & (F.col("m") == F.col("_m")) & (F.col("no") == F.col("_no")) & (F.col("bits") == F.col("_bits")))
+    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("_fp"))) <= radius).select(*[c for c in windows.columns if c != "fp"], "iid").distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
@@ -80,60 +101,54 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int =
         return empty(spark, "d long, t1 long, t2 long, item_id long, start int, similarity double")
     parts = None
     for k in widths:
-        one = _hashed(unique.where(F.col("k") == k), ["iid", "k"], k).select("iid", "k", F.explode("hs").alias("h"))
+        one = _hashed(unique.where(F.col("k") == k), ["iid", "k"], k).select("iid", "k", F.size("hs").alias("m"), F.explode("hs").alias("h"))
         parts = one if parts is None else parts.union(one)
-    item_rows = cut(parts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("iid")).cast("int")), "item-shingles")
-    shingles = item_rows.groupBy("iid", "k", "m", "h").agg(F.count(F.lit(1)).alias("c"))
-    small = item_rows.count() <= BROADCAST
-    side = F.broadcast(shingles) if small else shingles
+    shingles = cut(parts.groupBy("iid", "k", "m", "h").agg(F.count(F.lit(1)).alias("c")), "item-shingles")
+    known = Members(shingles, "h")
+    small = shingles.count() <= BROADCAST
+    side = F.broadcast if small else (lambda df: df)
 
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").select(*_key(F.col("doc_id"), F.col("text")), _words("text").alias("words"))
-    anchors = None
+    hits = None
     for k in widths:
-        at = _hashed(texts, KEY, k).select(*KEY, F.size("hs").alias("len"), F.posexplode("hs").alias("pos", "h"))
-        hit = at.join(side.where(F.col("k") == k), "h").select(*KEY, "iid", "k", "m", "len", "pos", "h", "c")
-        anchors = hit if anchors is None else anchors.union(hit)
-    anchors = cut(anchors, "anchors").dropDuplicates([*KEY, "iid", "pos"])
-    # the window has least(m, len) shingles; with o in common the similarity is o / (m + window - o)
-    size = F.least("m", "len")
-    need = F.ceil(percent * (F.col("m") + size) / (100 + percent))
-    per = Window.partitionBy(*KEY, "iid")
-    many = anchors.withColumn("n", F.count(F.lit(1)).over(per)).where(F.col("n") >= need).withColumn("size", size)
+        at = _hashed(texts, KEY, k).select(*KEY, F.lit(k).alias("k"), F.size("hs").alias("len"), F.posexplode("hs").alias("pos", "h")).where(known.has("h"))
+        hits = at if hits is None else hits.union(at)
+    hits = cut(hits, "hits")
+    # which sizes of items hold the shingle; the window has least(m, len) shingles; with o in common the similarity is
+    # o / (m + size - o)
+    per = Window.partitionBy(*KEY, "k", "m")
+    spots = hits.join(side(shingles.select("k", "h", "m").distinct()), ["k", "h"]).select(*KEY, "k", "m", "len", "pos").repartition(*KEY).dropDuplicates([*KEY, "k", "m", "pos"])
+    spots = spots.withColumn("size", F.least("m", "len")).withColumn("need", F.ceil(percent * (F.col("m") + F.col("size")) / (100 + percent)))
+    many = spots.withColumn("n", F.count(F.lit(1)).over(per)).where("n >= need")
     # places p .. p + size - 1, in units of the size
-    over = "count(1) OVER (PARTITION BY d, t1, t2, iid ORDER BY pos / size RANGE BETWEEN {} AND {})"
+    over = "count(1) OVER (PARTITION BY d, t1, t2, k, m ORDER BY pos / size RANGE BETWEEN {} AND {})"
     many = many.withColumn("ahead", F.expr(over.format("CURRENT ROW", "0.9999999D FOLLOWING"))).withColumn("back", F.expr(over.format("0.9999999D PRECEDING", "CURRENT ROW")))
-    many = cut(many.withColumn("need", need), "many")
-    spot = [*KEY, "iid", "k", "m", "size", "need"]
-    wins = many.where("ahead >= need and pos + size <= len").select(*spot, F.col("pos").alias("start")).union(many.where("back >= need").select(*spot, F.greatest(F.lit(0), F.col("pos") - F.col("size") + 1).alias("start"))).distinct()
-    wins = cut(wins, "windows")
+    starts = F.array(F.when((F.col("ahead") >= F.col("need")) & (F.col("pos") + F.col("size") <= F.col("len")), F.col("pos")), F.when(F.col("back") >= F.col("need"), F.greatest(F.lit(0), F.col("pos") - F.col("size") + 1)))
+    wins = cut(many.select(*KEY, "k", "m", "size", F.explode(starts).alias("start")).where("start is not null").distinct(), "windows")
     # the shingles of those windows, from the texts of those documents
-    few = _join(texts, wins.select(*KEY).distinct(), KEY).dropDuplicates(KEY)
+    held = Members(wins.select(*KEY).distinct(), *KEY)
+    few = texts.where(held.has(*KEY))
     rows = None
     for k in widths:
-        one = _join(wins.where(F.col("k") == k), _hashed(few, KEY, k), KEY).select(*KEY, "iid", "start", "size", F.slice("hs", F.col("start") + 1, F.col("size")).alias("own"))
+        one = _join(wins.where(F.col("k") == k), _hashed(few, KEY, k), KEY).select(*KEY, "k", "m", "size", "start", F.slice("hs", F.col("start") + 1, F.col("size")).alias("own"))
         rows = one if rows is None else rows.union(one)
-    # a window's shingles are counted and summed where the window is
-    spots = [*KEY, "iid", "start", "size"]
-    rows = _numbered(rows.repartition(*KEY, "iid", "start").select(*spots, F.explode("own").alias("h")).groupBy(*spots, "h").agg(F.count(F.lit(1)).alias("c")), "c")
-    # written: the fingerprint is a large expression, and its blocks would hold 25 copies of it
-    prints = cut(_simhash(rows, [*KEY, "iid", "start"], "size"), "prints").withColumn("b", F.explode(_blocks("fp", radius)))
-    goal = cut(_simhash(_numbered(shingles.select("iid", "m", "h", "c"), "c"), ["iid"], "m"), "goals").select(F.col("iid").alias("i2"), F.col("fp").alias("fp2"), F.explode(_blocks("fp", radius)).alias("b2"))
-    close = prints.join(goal, (F.col("iid") == F.col("i2")) & (F.col("b.no") == F.col("b2.no")) & (F.col("b.bits") == F.col("b2.bits"))).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select(*KEY, "iid", "start").distinct()
-    # exact: what a window has of each shingle; windows meet shingles by place / size, so a long document stays linear
-    close = _join(close, wins, [*KEY, "iid", "start"]).withColumn("cell", F.explode(F.array_distinct(F.array(F.expr("start div size"), F.expr("(start + size - 1) div size")))))
-    own = many.select(*KEY, "iid", "pos", "h", "c", F.expr("pos div size").alias("cell"))
-    met = _join(close, own, [*KEY, "iid", "cell"]).where("pos >= start and pos < start + size")
-    common = met.groupBy(*KEY, "iid", "m", "size", "start", "h").agg(F.least(F.count(F.lit(1)), F.first("c")).alias("o"))
-    exact = common.groupBy(*KEY, "iid", "m", "size", "start").agg(F.sum("o").alias("o")).where(f"{100 + percent} * o >= {percent} * (m + size)")
-    best = exact.withColumn("similarity", F.col("o") / (F.col("m") + F.col("size") - F.col("o"))).groupBy(*KEY, "iid").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
+    rows = cut(rows.select("*", F.xxhash64("own").alias("c1"), F.xxhash64(F.lit(7), "own").alias("c2")), "contents")
+    content = ["c1", "c2", "k", "m", "size"]
+    counts = cut(rows.select(*content, "own").dropDuplicates(content).select(*content, F.explode("own").alias("h")).groupBy(*content, "h").agg(F.count(F.lit(1)).alias("c")), "counts")
+    # written: the fingerprint is a large expression, and its blocks would hold copies of it
+    prints = cut(_simhash(_numbered(counts, "c"), ["c1", "c2", "k", "m"], "size"), "prints")
+    goals = cut(_simhash(_numbered(shingles, "c"), ["iid", "k"], "m", keep=True), "goals")
+    close = candidates(prints, goals, radius)
+    met = counts.join(close, ["c1", "c2", "k", "m"]).join(side(shingles.select(F.col("iid").alias("_i"), F.col("h").alias("_h"), F.col("c").alias("_c"))), (F.col("iid") == F.col("_i")) & (F.col("h") == F.col("_h")))
+    exact = met.groupBy(*content, "iid").agg(F.sum(F.least("c", "_c")).alias("o")).where(f"{100 + percent} * o >= {percent} * (m + size)")
+    exact = exact.select(*content, "iid", (F.col("o") / (F.col("m") + F.col("size") - F.col("o"))).alias("similarity"))
+    best = rows.select(*KEY, "start", *content).join(exact, content).groupBy(*KEY, "iid").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
     return best.join(named.select("iid", "item_id"), "iid").select(*KEY, "item_id", (-F.col("b.s")).cast("int").alias("start"), F.col("b.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold an item."""
-    bad = leaks(docs.select("doc_id", "text"), items).select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct()
-    d, t1, t2 = _key(docs["doc_id"], docs["text"].cast("string"))
-    return docs.join(bad, d.eqNullSafe(F.col("_d")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left_anti")
+    return without(docs, cut(leaks(docs.select("doc_id", "text"), items).select(*KEY).distinct(), "leaks"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmap.llm._util import cut, forget, table
+from voxmap.llm._util import Members, cut, forget, table
 
 MIN_WORDS = 50
 KEY = ["d", "t1", "t2"]
@@ -43,18 +43,16 @@ def _names(pairs: DataFrame, cols: list[str]) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t1, t2, line) of every line of docs(doc_id, text) that lies in a later copy of a run; line counts from 0."""
     text = F.col("text").cast("string")
-    lines = (
-        docs.select(F.col("doc_id"), text.alias("text")).where("text is not null").select(*_key(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n")).alias("line", "x"))
-        .where("length(trim(x)) > 0")
-        .select(*KEY, "line", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), F.col("x")).alias("h2"), F.size(F.split(F.trim("x"), r"\s+")).alias("w"))
-    )
-    lines = cut(lines, "lines")
-    twice = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    names = _names(twice, ["h1", "h2"])
-    hits = lines.join(names, ["h1", "h2"], "left").select(*KEY, "line", "w", "name")
-    # runs of repeated lines, with nothing but blank lines between them
-    doc = Window.partitionBy(*KEY).orderBy("line")
-    hits = hits.dropDuplicates([*KEY, "line"]).withColumn("seg", F.sum(F.when(F.col("name").isNull(), 1).otherwise(0)).over(doc)).where("name is not null")
+    full = r"posexplode(filter(transform(split(text, '\n'), (x, i) -> struct(i AS line, x AS x)), s -> length(trim(s.x)) > 0)) AS (n, s)"
+    lines = docs.select(F.col("doc_id"), text.alias("text")).where("text is not null").select(*_key(F.col("doc_id"), F.col("text")), F.expr(full))
+    # n counts the lines that are not blank
+    lines = cut(lines.select(*KEY, "n", "s.line", F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit(7), "s.x").alias("h2"), F.size(F.split(F.trim("s.x"), r"\s+")).alias("w")), "lines")
+    twice = cut(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"), "twice")
+    # lines that occur once go here, before a line is shuffled with its place; one that slips through harms nothing:
+    # a run that holds it has no copy
+    hits = lines.where(Members(twice, "h1", "h2").has("h1", "h2")).repartition(*KEY).dropDuplicates([*KEY, "line"])
+    # runs of repeated lines, with nothing but blank lines between them; a line's first name is its hash
+    hits = hits.select(*KEY, "line", "w", F.struct("h1", "h2").alias("name"), (F.col("n") - F.row_number().over(Window.partitionBy(*KEY).orderBy("n"))).alias("seg"))
     seg = Window.partitionBy(*KEY, "seg")
     run = hits.withColumn("all", F.sum("w").over(seg)).where(F.col("all") >= min_words).withColumn("q", F.row_number().over(seg.orderBy("line")).cast("int")).withColumn("before", F.sum("w").over(seg.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
     ahead = seg.orderBy("before").rangeBetween(0, min_words - 1)
@@ -62,6 +60,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     back = seg.orderBy("after").rangeBetween(-(min_words - 1), 0)
     run = run.withColumn("b", F.when(F.sum("w").over(back) >= min_words, F.count(F.lit(1)).over(back)))
     level = cut(run.select(*KEY, "seg", "q", "line", "name", F.col("m").cast("int").alias("m"), F.col("b").cast("int").alias("b")), "level")
+    forget(lines)
     whole = level.select(*KEY, "seg", "q", "line")
     # runs to look at: `m` lines from place q on; a run to a place begins b - 1 places before it
     wins = level.where("m is not null").select(*KEY, "seg", "q", "m").union(level.where("b is not null").select(*KEY, "seg", (F.col("q") - F.col("b") + 1).alias("q"), F.col("b").alias("m"))).distinct()
@@ -100,15 +99,34 @@ def _join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.join(r, cond).drop(*[f"_{c}" for c in on])
 
 
+def split(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, list]:
+    """docs that have none of keys(d, t1, t2), and those that may have one; the key of a row of docs.
+
+    Only the second part needs a join, so only texts that are keyed, and few others, are shuffled.
+    """
+    own = _key(F.col("doc_id"), F.col("text").cast("string"))
+    hit = F.coalesce(Members(keys, *KEY).has(*own), F.lit(False))
+    return docs.where(~hit), docs.where(hit), own
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs whose key is not in keys(d, t1, t2), a written table."""
+    rest, some, (d, t1, t2) = split(docs, keys)
+    bad = keys.select(*[F.col(c).alias(f"_{c}") for c in KEY])
+    return rest.union(some.join(bad, d.eqNullSafe(F.col("_d")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left_anti"))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text without later copies, and _removed: the numbers of the deleted lines (null: none)."""
     gone = repeated_lines(docs.select("doc_id", "text"), min_words).groupBy(*KEY).agg(F.sort_array(F.collect_list("line")).alias("_removed"))
-    gone = gone.select(*[F.col(c).alias(f"_{c}") for c in KEY], "_removed")
-    d, t1, t2 = _key(docs["doc_id"], docs["text"].cast("string"))
-    out = docs.join(gone, d.eqNullSafe(F.col("_d")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
+    gone = cut(gone, "gone")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    rest, some, (d, t1, t2) = split(docs, gone)
+    out = some.join(gone.select(*[F.col(c).alias(f"_{c}") for c in KEY], "_removed"), d.eqNullSafe(F.col("_d")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
     # the lines are bound to a lambda's variable, or they would be split anew for each line
-    left = F.expr(r"transform(array(split(CAST(text AS STRING), '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _removed), i -> get(l, i)), '\n'))[0]")
-    return out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text").cast("string")).otherwise(left)).drop("_d", "_t1", "_t2")
+    left = F.expr(r"transform(array(split(text, '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _removed), i -> get(l, i)), '\n'))[0]")
+    out = out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)).drop("_d", "_t1", "_t2")
+    return rest.withColumn("_removed", F.lit(None).cast("array<int>")).unionByName(out)
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,8 @@ def _stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 def tile_links(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, same: bool, tile: int = TILE, lead: int = LEAD):
     """Yields (i, j) index arrays of the links between rows of a and rows of b, tile by tile; same: a is b, i is not j."""
+    # each row over its largest component: squares neither overflow nor vanish, and the cosine stays
+    a, b = (x.astype(np.float64) / np.abs(x).max(axis=1, keepdims=True).astype(np.float64) for x in (a, b))
     ua, ub = units(a) @ basis, units(b) @ basis
     d = ua.shape[1]
     na, nb = (np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)) for x in (a, b))
@@ -180,21 +182,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
     key = ready.select("vec_id", "d1", "d2", (F.col("dim") > 0).alias("usable"))
     if total > 1:
         blocks = cut(classes.repartitionByRange(-(-total // block), "dim", "x1", "rep").select("rep", "n", "dim", "x1", "raw", F.spark_partition_id().alias("block")), "blocks")
-        # one row per block (BLOCK vectors): which blocks can hold a link
-        ends = sorted(map(tuple, blocks.groupBy("dim", "block").agg(F.min("x1"), F.max("x1")).collect()), key=lambda r: (r[0], r[2]))
+        # which blocks can hold a link: a row per block, an equi-join on the stretches of the first coordinate they cover
         reach = float(np.sqrt(2 - 2 * threshold)) + SLACK if threshold < 1 else SLACK
-        meet, pair = {}, 0
-        for p, (d, u, _, top) in enumerate(ends):
-            for dd, v, low, _ in ends[p:]:
-                if dd != d or low - top > reach:
-                    break
-                for w in {u, v}:
-                    meet.setdefault((d, w), []).append(pair)
-                pair += 1
-        todo = spark.createDataFrame([(d, w, q) for (d, w), q in meet.items()], "dim int, block int, pairs array<int>")
-        # as many rows as blocks
-        dealt = blocks.join(F.broadcast(todo), ["dim", "block"]).select("block", "rep", "n", "dim", "raw", F.explode("pairs").alias("pair"))
-        found = cut(dealt.groupBy("pair").applyInArrow(_pair(basis, threshold, "<f8" if wide else "<f4"), "id long, links long, other long"), "links")
+        ends = cut(blocks.groupBy("dim", "block").agg(F.min("x1").alias("low"), F.max("x1").alias("top")), "ends")
+        cell = lambda x: F.floor(x / F.lit(max(reach, 1 / 64)))  # noqa: E731  no block covers more than 130 of them
+        one = ends.select("*", F.explode(F.sequence(cell(F.col("low")), cell(F.col("top") + reach))).alias("cell"))
+        two = ends.select(*[F.col(c).alias(f"_{c}") for c in ends.columns], F.explode(F.sequence(cell(F.col("low")), cell(F.col("top")))).alias("_cell"))
+        later = (F.col("_low") > F.col("low")) | ((F.col("_low") == F.col("low")) & (F.col("_block") >= F.col("block")))
+        meet = one.join(two, (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell"))).where(later & (F.col("_low") - F.col("top") <= reach)).select("dim", F.col("block").alias("u"), F.col("_block").alias("v")).distinct()
+        todo = meet.select("dim", F.explode(F.array_distinct(F.array("u", "v"))).alias("block"), F.struct("u", "v").alias("pair"))
+        dealt = blocks.join(todo, ["dim", "block"]).select("block", "rep", "n", "dim", "raw", "pair")
+        found = cut(dealt.groupBy("dim", "pair").applyInArrow(_pair(basis, threshold, "<f8" if wide else "<f4"), "id long, links long, other long"), "links")
         links = found.groupBy("id").agg(F.sum("links").alias("links"))
         comp = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
         classes = classes.join(links, classes.rep == links.id, "left").drop("id").join(comp, F.col("rep") == F.col("node"), "left")

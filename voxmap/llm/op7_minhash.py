@@ -7,7 +7,7 @@ confirmed by exact Jaccard similarity on the full shingle sets of whole texts.
 
 Hot groups: texts with one shingle set are one class from the start. Bucket members are compared with the bucket's
 PIVOTS smallest members (stars: a few pairs a member, never all pairs). Buckets of PIVOTS + 1 members are done with that;
-for larger ones that still hold several components, a prefix filter over their documents (shingles in a fixed order;
+for larger ones that still hold several components, a prefix filter over their documents (shingles in one order;
 two sets at the threshold share one of their first 20 %) gives every pair of different components that can still be a
 link, so no link is lost. No bucket is gathered in a task and no bucket is capped.
 
@@ -17,9 +17,9 @@ more than SKETCH of its places: at similarity 0.8, of 128 places fewer than 60 %
 Only band keys that occur twice, and only texts that stand in a pair, are shuffled (`Members`). Joins do not depend on
 Spark's size estimates, so a large input runs the plan of a small one.
 
-Defined results: a null or blank text has an empty set and links with nothing; rows that share a doc_id are one
-document; rows with a null doc_id get a null component_id (unless a class mate has an id) and kept = false. Other
-columns of the input are ignored.
+Defined results: a null or blank text has an empty set and links with nothing; rows that repeat a (doc_id, text) are one
+document, rows of one doc_id and different texts are several; rows with a null doc_id get a null component_id (unless a
+component mate has an id) and kept = false. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ from pyspark.sql.window import Window
 
 from voxmap.llm import _text as X
 from voxmap.llm._util import Members, components, cut, forget, table
+from voxmap.llm.op3_lines import KEY, _join, _key
 
 RING_BITS = 20
 BANDS, ROWS = 32, 4
 PIVOTS = 3
+HEAVY = 500_000
 SKETCH = 0.6
 _WIN: dict[int, np.ndarray] = {}
 
@@ -93,7 +95,7 @@ def _sign(width: int, bands: int, rows: int):
                 n = batch.num_rows
                 size, s1, s2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
                 keys, sketch = [], [None] * n
-                for r, u in shingle_sets(batch.column(1), width):
+                for r, u in shingle_sets(batch.column(3), width):
                     size[r] = len(u)
                     if len(u):
                         d = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
@@ -103,7 +105,7 @@ def _sign(width: int, bands: int, rows: int):
                         sig = sig.reshape(bands, rows)
                         keys.append(X.mix((sig * mul).sum(axis=1, dtype=np.uint64) ^ salt).view(np.int64))
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(s1), pa.array(s2), X.lists(np.where(size > 0, bands, 0), flat, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size), pa.array(s1), pa.array(s2), X.lists(np.where(size > 0, bands, 0), flat, pa.int64()), pa.array(sketch, pa.binary())], [*KEY, "n_shingles", "s1", "s2", "keys", "sketch"])
 
     return run
 
@@ -158,17 +160,27 @@ def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return two.select("x", "p", "sx", "sp").mapInArrow(_alike, "x long, p long")
 
 
-def compare(texts: DataFrame, pairs: DataFrame, width: int, per_chunk: int = 64) -> DataFrame:
+def _texts_of(texts: DataFrame, homes: DataFrame) -> DataFrame:
+    """The columns of homes(d, t1, t2, ..) with the text of that key in texts(d, t1, t2, text); repeated rows count once.
+
+    homes is a written table.
+    """
+    own = texts.where(Members(homes.select(*KEY).distinct(), *KEY).has(*KEY))
+    one = own.groupBy(*KEY).agg(F.first("text").alias("text"))
+    return _join(homes.hint("merge"), one, KEY)
+
+
+def compare(texts: DataFrame, homes: DataFrame, pairs: DataFrame, width: int, per_chunk: int = 64) -> DataFrame:
     """The sizes of intersection and union of the full sets of each pair (x, p): (a, b, both, either).
 
-    pairs is a written table. Members of a pivot with many are spread over chunks; each chunk gets one copy of the
-    pivot's set.
+    pairs is a written table; homes(id, d, t1, t2) tells where an id's text is. Members of a pivot with many are spread
+    over chunks; each chunk gets one copy of the pivot's set.
     """
-    ids = Members(pairs.select(F.explode(F.array("x", "p")).alias("id")).distinct(), "id")
     n = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     with_chunk = pairs.hint("merge").join(n.hint("merge"), "p").select("x", "p", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / per_chunk)).cast("int").alias("chunk"))
     need = with_chunk.select(F.col("x").alias("id"), "p", "chunk", F.lit(0).alias("role")).unionByName(with_chunk.select(F.col("p").alias("id"), "p", "chunk", F.lit(1).alias("role")).distinct())
-    sets = need.hint("merge").join(texts.where(ids.has("id")).hint("merge"), "id").select("id", "p", "chunk", "role", "text").mapInArrow(_emit_sets(width), "id long, p long, chunk int, role int, set binary")
+    need = cut(need.hint("merge").join(homes.hint("merge"), "id"), "need")
+    sets = _texts_of(texts, need).select("id", "p", "chunk", "role", "text").mapInArrow(_emit_sets(width), "id long, p long, chunk int, role int, set binary")
     return sets.repartition("p", "chunk").sortWithinPartitions("p", "chunk", F.desc("role")).mapInArrow(_compare, "a long, b long, both long, either long")
 
 
@@ -188,14 +200,17 @@ def _tokens(width: int):
 def sharing_prefixes(texts: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """All pairs (x, p) of docs(rep, size, comp) in different components that can reach the threshold, by prefix filter.
 
-    A token's most frequent component is only probed by the members of others, so one huge component costs rows in
-    proportion to its size.
+    Shingles are ordered by hash, those in very many documents last (any order that all sets share is exact). These are
+    so few that they fit a broadcast: HEAVY at most. A token's most frequent component is only probed by the members of
+    others, so one huge component costs rows in proportion to its size.
     """
     tokens = cut(texts.mapInArrow(_tokens(width), "rep long, token long"), "tokens")
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranks = tokens.join(df, "token").join(docs, "rep").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")))
-    # a set of n needs ceil(t n) common shingles at least, so one of its n - ceil(t n) + 1 rarest is common
-    prefix = ranks.where((F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1)).select("rep", "size", "comp", "token", "r")
+    least = max(32, -(-tokens.count() // HEAVY))
+    heavy = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
+    ranks = tokens.join(F.broadcast(heavy), "token", "left").hint("merge").join(docs.hint("merge"), "rep")
+    ranks = ranks.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(0)), "token")))
+    # a set of n needs ceil(t n) common shingles at least, so one of its first n - ceil(t n) + 1 is common
+    prefix = ranks.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).select("rep", "size", "comp", "token", "r")
     prefix = cut(prefix, "prefixes")
     main = prefix.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
     x = prefix.join(main, "token").where("comp <> main").alias("x")
@@ -216,16 +231,20 @@ def join_components(comp: DataFrame, links: DataFrame) -> DataFrame:
     return old.union(up.hint("merge").join(comp.select("node").hint("merge"), "node", "left_anti").select("node", "comp"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
+def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """d, t1, t2 (the key of a row), n_shingles, component_id and first for each row of docs(doc_id, text).
+
+    component_id is the smallest doc_id of the component; first: this row's key is the component's smallest.
 
     A pair at exactly the threshold s misses all bands with probability (1 - s^rows)^bands: 5e-8 at 0.8, less above.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(base.mapInArrow(_sign(width, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sketch binary"), "minhash")
-    some = signed.where("n_shingles > 0 and doc_id is not null")
-    # a class: all documents with one shingle set; its smallest id stands for it
-    classes = cut(some.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "keys", "sketch", "n_shingles")).alias("m")).select("s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys"), F.col("m.sketch").alias("sketch"), F.col("m.n_shingles").alias("size")), "classes")
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).select(*_key(F.col("doc_id"), F.col("text")), "text")
+    signed = cut(texts.mapInArrow(_sign(width, bands, rows), "d long, t1 long, t2 long, n_shingles long, s1 long, s2 long, keys array<long>, sketch binary"), "minhash")
+    place = F.struct(F.col("d").isNull().alias("o"), *KEY)
+    # a class: all documents with one shingle set; the smallest key stands for it
+    classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct(place.alias("at"), "keys", "sketch", "n_shingles")).alias("m"))
+    classes = cut(classes.select("s1", "s2", F.monotonically_increasing_id().alias("rep"), *[F.col(f"m.at.{c}").alias(c) for c in KEY], "m.keys", "m.sketch", F.col("m.n_shingles").alias("size")), "classes")
+    homes = classes.select(F.col("rep").alias("id"), *KEY)
     member = classes.select(F.explode("keys").alias("key"), "rep", "size")
     twice = cut(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n"), "buckets")
     member = cut(member.where(Members(twice, "key").has("key")).hint("merge").join(twice.hint("merge"), "key"), "members")
@@ -241,9 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     pairs = met.select(F.col("rep").alias("x"), F.col("q.rep").alias("p")).distinct()
     sketches = classes.select("rep", "sketch")
     pairs = cut(alike(pairs, sketches), "pairs")
-    texts = base.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    # rows that share a doc_id are one document: the text that gave the class stands for it
-    sims = cut(compare(texts, pairs, width), "sims")
+    sims = cut(compare(texts, homes, pairs, width), "sims")
     linked = f"100 * both >= {percent} * either"
     comp = cut(components(sims.where(linked).select("a", "b")), "comp")
     # what the stars can't see: members of one large bucket that are in different components still
@@ -251,16 +268,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     still = cut(lab.hint("merge").join(open_.hint("merge"), "key").select("rep", "size", "comp").distinct(), "open")
     if not still.isEmpty():
-        ids = Members(still, "rep")
-        own = texts.where(ids.has("id")).hint("merge").join(still.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
+        at = cut(still.select(F.col("rep").alias("id")).hint("merge").join(homes.hint("merge"), "id"), "homes")
+        own = _texts_of(texts, at).select("id", "text")
         more = cut(alike(sharing_prefixes(own, still, width, percent), sketches).hint("merge").join(sims.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("p")).hint("merge"), ["x", "p"], "left_anti"), "more")
         if not more.isEmpty():
-            comp = cut(join_components(comp, compare(texts, more, width).where(linked).select("a", "b")), "comp")
+            comp = cut(join_components(comp, compare(texts, homes, more, width).where(linked).select("a", "b")), "comp")
     forget(member)
-    of_class = classes.select("s1", "s2", "rep").hint("merge").join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").hint("merge").join(of_class.hint("merge"), ["s1", "s2"], "left")
-    cid = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"))
+    of = classes.select("s1", "s2", "rep", *KEY).hint("merge").join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    top = of.groupBy("comp").agg(F.min(place).alias("top"))
+    of = of.select("s1", "s2", "comp").hint("merge").join(top.hint("merge"), "comp").drop("comp")
+    out = signed.select(*KEY, "n_shingles", "s1", "s2").hint("merge").join(of.hint("merge"), ["s1", "s2"], "left")
+    alone = F.col("top").isNull()
+    return out.select(*KEY, "n_shingles", F.when(alone, F.col("d")).otherwise(F.col("top.d")).alias("component_id"), (alone | place.eqNullSafe(F.col("top"))).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    g = groups(docs, width, percent)
+    return g.select(F.col("d").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("d") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

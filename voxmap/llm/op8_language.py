@@ -4,8 +4,8 @@ A profile is the PROFILE most frequent letter n-grams (1 to 3 letters, a blank a
 texts, by rank. A document's own most frequent n-grams are ranked the same way over the whole text, and the language
 with the smallest out-of-place distance (sum of rank differences, PROFILE for an n-gram that a profile lacks) wins.
 
-Training texts: at most `per_language` documents of each language, those with the smallest hash of their id; counts are
-added up where the rows are, only the profiles reach the driver.
+Training texts: all documents of a language up to `per_language`, and of a larger one those with a small hash,
+`per_language` of them on the average; counts are added up where the rows are, only the profiles reach the driver.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where nothing could be learned; equal
 distances go to the language first in code point order; rows with a null doc_id are treated as doc_id ''; other columns
@@ -78,10 +78,10 @@ def _count(batches):
 
 def learn(docs: DataFrame, profile: int = PROFILE, per_language: int = PER_LANGUAGE) -> dict[str, list[int]]:
     """{language: codes by rank} from docs(doc_id, text, lang), rows with a lang and a text."""
-    d = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(8)))
-    few = d.select("doc_id", "lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
-    # the hash up to which a language's rows are taken: a row per language
-    top = few.groupBy("lang").agg(F.max("h").alias("top"))
+    d = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(8)), 1))
+    # the hash up to which a language's rows are taken, from their number: a row per language
+    top = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+    top = top.select("lang", F.when(F.col("n") <= per_language, F.lit((1 << 63) - 1)).otherwise(F.greatest("least", (F.lit(float(per_language) * 2.0**63) / F.col("n")).cast("long"))).alias("top"))
     side = F.broadcast(top) if top.count() <= LANGUAGES else top
     used = d.join(side, "lang").where("h <= top").select("lang", "text")
     counts = used.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))

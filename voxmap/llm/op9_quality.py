@@ -96,7 +96,7 @@ def _add(batches):
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors (VOCAB x DIM) over all texts of docs(text)."""
     parts = docs.select("text").mapInArrow(_accumulate, "bucket int, v binary")
-    rows = parts.repartition(8, "bucket").mapInArrow(_add, "bucket int, v binary").collect()  # VOCAB rows at most
+    rows = parts.repartition("bucket").mapInArrow(_add, "bucket int, v binary").collect()  # VOCAB rows at most
     m = np.zeros((VOCAB, DIM), np.float32)
     for r in rows:
         m[r.bucket] = np.frombuffer(r.v, np.float32)
