@@ -86,7 +86,8 @@ def candidates(windows: DataFrame, goals: DataFrame, radius: int) -> DataFrame:
     """All (window columns, iid) of windows(.., k, m, fp) and goals(iid, k, m, fp) of equal k and m within radius bits."""
     parts = windows.select("*", F.explode(F.array(*[F.struct(F.lit(b).alias("no"), bits.alias("bits")) for b, _, bits in _blocks("fp")])).alias("b")).select(*windows.columns, "b.no", "b.bits")
     index = _index(goals.select("iid", F.col("k").alias("_k"), F.col("m").alias("_m"), "fp"), radius).select("iid", "_k", "_m", F.col("fp").alias("_fp"), F.col("no").alias("_no"), F.col("bits").alias("_bits"))
-    met = parts.join(index, (F.col("k") == F.col("_k")) & (F.col("m") == F.col("_m")) & (F.col("no") == F.col("_no")) & (F.col("bits") == F.col("_bits")))
+    # Spark's estimate of the index is that of the goals, so the join is named
+    met = parts.hint("merge").join(index.hint("merge"), (F.col("k") == F.col("_k")) & (F.col("m") == F.col("_m")) & (F.col("no") == F.col("_no")) & (F.col("bits") == F.col("_bits")))
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("_fp"))) <= radius).select(*[c for c in windows.columns if c != "fp"], "iid").distinct()
 
 

@@ -69,7 +69,7 @@ def _accumulate(batches):
     plus, minus = index_vectors()
     acc = np.zeros(VOCAB * DIM)
     for b in batches:
-        for _, _, buf, off in X.text_chunks(b.column(0), 4 << 20):
+        for _, _, buf, off in X.text_chunks(b.column(0)):
             w, _, _, first, _ = tokens(buf, off)
             row = np.searchsorted(first, np.arange(len(w)), "right")
             for s in range(1, WINDOW + 1):
