@@ -151,7 +151,8 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = base.withColumn("crc", F.crc32(F.col("text").cast("binary")))
     # the texts with a small hash, SAMPLE of them on the average: they are picked where they are
-    few = base.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= int(min(1.0, SAMPLE / max(1, base.count())) * ((1 << 63) - 1))).select("text")
+    bound = ((1 << 63) - 1) * SAMPLE // max(SAMPLE, base.count())
+    few = base.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= bound).select("text")
     samples = [r.ids for r in few.mapInArrow(_sample_ids(tokenizer, end_id, added), "ids binary").toLocalIterator()]
     dictionary = train_dictionary([bytes(s) for s in samples])
     with f.open_output_stream(f"{path}/dictionary.zdict") as out:
