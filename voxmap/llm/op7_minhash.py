@@ -251,26 +251,30 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BAND
     sketches = classes.select("rep", "sketch")
     fits = lambda x, y: percent * F.greatest(x, y) <= 100 * F.least(x, y)
     linked = f"100 * both >= {percent} * either"
-    # a bucket's smallest members, one after the other; those after the first only meet members of other components, so
-    # a large group of near copies costs one star
-    comp, sims, last = None, None, None
+    # a bucket's smallest members, one after the other
+    stars = []
     for _ in range(PIVOTS):
-        over = member if last is None else member.hint("merge").join(last.select("key", F.col("q.rep").alias("_after")).hint("merge"), "key").where("rep > _after")
-        last = cut(over.groupBy("key").agg(F.min(F.struct("rep", "size")).alias("q")), "pivots")
-        met = over.hint("merge").join(last.hint("merge"), "key").where((F.col("q.rep") < F.col("rep")) & fits(F.col("size"), F.col("q.size")))
-        met = met.select(F.col("rep").alias("x"), F.col("q.rep").alias("p")).distinct()
-        if comp is not None:
-            for end in ("x", "p"):
-                met = met.hint("merge").join(comp.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}")).hint("merge"), end, "left")
-            met = met.where(F.coalesce("_x", "x") != F.coalesce("_p", "p")).select("x", "p")
-            met = met.hint("merge").join(sims.select(F.col("a").alias("x"), F.col("b").alias("p")).hint("merge"), ["x", "p"], "left_anti")
-        met = cut(alike(met, sketches), "pairs")
-        if comp is not None and met.isEmpty():
-            continue
-        now = cut(compare(texts, homes, met, width), "sims")
-        found = now.where(linked).select("a", "b")
-        comp = cut(components(found) if comp is None else join_components(comp, found), "comp")
-        sims = now if sims is None else sims.unionByName(now)
+        over = member if not stars else member.hint("merge").join(stars[-1].select("key", F.col("q.rep").alias("_after")).hint("merge"), "key").where("rep > _after")
+        stars.append(cut(over.groupBy("key").agg(F.min(F.struct("rep", "size")).alias("q")), "pivots"))
+
+    def met(pivots: DataFrame) -> DataFrame:
+        near = member.hint("merge").join(pivots.hint("merge"), "key").where((F.col("q.rep") < F.col("rep")) & fits(F.col("size"), F.col("q.size")))
+        return near.select(F.col("rep").alias("x"), F.col("q.rep").alias("p")).distinct()
+
+    sims = cut(compare(texts, homes, cut(alike(met(stars[0]), sketches), "pairs"), width), "sims")
+    comp = cut(components(sims.where(linked).select("a", "b")), "comp")
+    # the other pivots only meet members of other components, so a large group of near copies costs one star
+    rest = None
+    for q in stars[1:]:
+        rest = met(q) if rest is None else rest.union(met(q))
+    for end in ("x", "p"):
+        rest = rest.hint("merge").join(comp.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}")).hint("merge"), end, "left")
+    rest = rest.where(F.coalesce("_x", "x") != F.coalesce("_p", "p")).select("x", "p").distinct()
+    rest = cut(alike(rest.hint("merge").join(sims.select(F.col("a").alias("x"), F.col("b").alias("p")).hint("merge"), ["x", "p"], "left_anti"), sketches), "pairs")
+    if not rest.isEmpty():
+        more = cut(compare(texts, homes, rest, width), "sims")
+        comp = cut(join_components(comp, more.where(linked).select("a", "b")), "comp")
+        sims = sims.unionByName(more)
     # what the stars can't see: members of one large bucket that are in different components still
     lab = member.where(F.col("n") > PIVOTS + 1).hint("merge").join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
     open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
