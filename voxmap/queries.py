@@ -28,6 +28,10 @@ POINTS = """select l_suppkey as frame_id,
 from lineitem"""
 SCANS = """select s_suppkey as frame_id, {us} + ((s_suppkey * 53) % 16 - 8) * 20000 as stamp_us
 from supplier join (select *, count(*) over () as n_ev from events) ev on event_id = (s_suppkey * 37) % n_ev"""
+#: the same rows with the number of events taken first, so that Spark joins on equal keys in place of comparing all pairs
+SCANS_EQUI = """select s_suppkey as frame_id, {us} + ((s_suppkey * 53) % 16 - 8) * 20000 as stamp_us
+from (select s_suppkey, (s_suppkey * 37) % n_ev as picked from supplier cross join (select count(*) as n_ev from events) n) s
+join (select * from events) ev on event_id = picked"""
 POSES = """select row_number() over (order by t, k, event_id) as pose_seq, t as stamp_us,
   cast(cast(user_id % 21 - 10 as double) / 10 as float) as tx, cast(cast(event_id % 17 - 8 as double) / 10 as float) as ty, cast(0 as float) as tz,
   cast(case event_type when 'view' then 1 when 'click' then 0.8 when 'purchase' then 0.6 when 'signup' then 0.96 else 0.28 end as float) as qw,
@@ -55,7 +59,7 @@ def points(spark, d):
 
 
 def scan_times(spark, d):
-    return _sql(spark, d, SCANS.format(us=_US["spark"]))
+    return _sql(spark, d, SCANS_EQUI.format(us=_US["spark"]))
 
 
 def poses(spark, d):
