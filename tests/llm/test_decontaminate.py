@@ -84,3 +84,20 @@ def test_edges(spark):
     assert got == {(4, 10), (4, 15), (None, 10), (None, 15), (5, 13), (6, 13), (7, 14)}
     assert sorted(str(r.doc_id) for r in D.clean(df, it).collect()) == ["1", "2", "3", "8"]
     assert D.clean(df.where("false"), it).count() == 0 and D.clean(df, it.where("false")).count() == len(docs)
+
+
+def test_recall_by_item_size(spark):
+    rnd = random.Random(11)
+    sizes = (13, 25, 50, 120)
+    items = [(100 * n + i, " ".join(f"i{n}x{i}x{rnd.randrange(60)}" for _ in range(n))) for n in sizes for i in range(10)]
+    docs = []
+    for i, text in items:
+        for part in (0.9, 0.93, 0.97):  # the rest of the passage is missing, so some are just above the threshold
+            w = text.split()
+            docs.append((len(docs), " ".join(["before"] * 3 + w[: round(part * len(w))] + [f"o{rnd.random()}" for _ in range(len(w))])))
+    got = {(r.d, r.item_id) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set(brute(docs, items))
+    assert got <= want
+    for n in sizes:
+        mine = {x for x in want if x[1] // 100 == n}
+        assert mine and len(mine & got) >= 0.999 * len(mine), n

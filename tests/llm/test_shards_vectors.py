@@ -139,3 +139,11 @@ def test_vectors_edges(spark):
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in C.near_vectors(df).collect())
     assert got == [("1", 1, "1", True), ("1", 1, "1", True), ("None", 0, "None", False)]
     assert C.near_vectors(df.where("false")).count() == 0
+
+
+def test_extreme_magnitudes(spark):
+    from voxmap.llm.op5_cosine import near_vectors
+
+    rows = [(1, [1e-200, 2e-200, 3e-200]), (2, [1e-200, 2e-200, 3.01e-200]), (3, [1e200, 2e200, 3e200]), (4, [-1e200, 2e200, 3e200]), (5, [1.0, 2.0, 3.02])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
