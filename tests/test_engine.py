@@ -62,7 +62,11 @@ def test_kernel_tables():
 
 
 def serial(rows, cfg):
-    """A plain fold over numpy float32 numbers."""
+    return {(*k, a, int(h), bool(h >= cfg.occ_min_hits)) for k, (a, h) in serial_raw(rows, cfg).items()}
+
+
+def serial_raw(rows, cfg):
+    """A plain fold over numpy float32 numbers: voxel to (rank, capped hits)."""
     f, m, st, dirs = np.float32, {}, kernel.stencil_rows(cfg), kernel.bin_directions(cfg)
     for r in rows:
         w = [f(x) for x in r]
@@ -77,7 +81,7 @@ def serial(rows, cfg):
             key = (base[0] + ox + 2, base[1] + oy + 2, base[2] + oz + 2)
             a, h = m.get(key, (16, 0))
             m[key] = (min(a, rank), min(cfg.occ_min_hits, h + occ))
-    return {(*k, a, int(h), bool(h >= cfg.occ_min_hits)) for k, (a, h) in m.items()}
+    return {k: (a, int(h)) for k, (a, h) in m.items()}
 
 
 def test_fold_streams_and_merges(spark, tmp_path):
@@ -104,22 +108,67 @@ def test_fold_streams_and_merges(spark, tmp_path):
     assert set(map(tuple, spark.table("live").collect())) == want
 
 
+def numbered(spark, rows):
+    """World points of (frame, x, y, z) rows in their order, seen from the origin."""
+    return spark.createDataFrame([(r[0], i, *r[1:], 0.0, 0.0, 0.0) for i, r in enumerate(rows)], "frame_id long, point_idx long, wx float, wy float, wz float, sx float, sy float, sz float").repartition(3)
+
+
+def plain_ring(requests, capacity):
+    """Residencies by the letter of the ring: one request after the other, nothing skipped."""
+    slot, log, n = [None] * capacity, [], 0
+    for frame, cell in requests:
+        if all(s is None or log[s][0] != cell for s in slot):
+            if slot[n % capacity] is not None:
+                log[slot[n % capacity]][2] = frame
+            slot[n % capacity] = len(log)
+            log.append([cell, frame, None])
+            n += 1
+    return Counter(map(tuple, log))
+
+
+def plain_requests(rows, cfg):
+    f = np.float32
+    for frame, *w in rows:
+        axes = []
+        for v, lo, hi, o in zip(w, cfg.low, cfg.high, cfg.origin, strict=True):
+            at = [f(f(v) + f(k)) for k in (-1, 0, 1)]
+            axes.append([int(np.floor(x - f(o))) for x in at if f(lo + 1) < x < f(hi - 1)])
+        yield from ((frame, (x, y, z)) for z in axes[2] for y in axes[1] for x in axes[0])
+
+
 def test_fifo_and_residency(spark):
     rnd = random.Random(1)
     for _ in range(300):
-        cap, req = rnd.randint(1, 4), [(i, rnd.randint(0, 6)) for i in range(20)]
-        ring, n = [None] * cap, 0
-        for _, c in req:
-            if c not in ring:
-                ring[n % cap] = c
-                n += 1
-        got = cells.fifo(req, cap)
-        assert {c for c, _, e in got if e is None} == {c for c in ring if c is not None} and len(got) == n
+        cap, req = rnd.randint(1, 4), [(i // 3, [rnd.randint(0, 6) for _ in range(rnd.randint(0, 3))]) for i in range(20)]
+        flat = [(f, c) for f, cs in req for c in cs]
+        assert Counter(cells.fifo(req, cap)) == plain_ring(flat, cap)
+    for cap in (1, 20, 30, 45, 60, 10_000):
+        few = MapConfig(**{**CFG.__dict__, "max_cells": cap})
+        rows = [(i // 4, *(float(f"{rnd.uniform(-3.9, 3.9):.3f}") for _ in range(3))) for i in range(40)]
+        rows[9] = rows[8]
+        pts = numbered(spark, rows)
+        got = Counter((((r.cx, r.cy, r.cz), r.alloc_frame, r.evict_frame)) for r in cells.residency(pts, few).collect())
+        assert got == plain_ring(plain_requests(rows, few), cap), cap
+
+
+def test_writes_to_evicted_cells_are_dropped(spark):
+    """Against a loop over frames: cells are allocated for a whole frame first, then its points are integrated."""
     few = MapConfig(**{**CFG.__dict__, "max_cells": 30})
-    pts = world(spark, [(1.5, 1.5, 1.5), (-1.5, -1.5, -1.5)]).selectExpr("*", "cast(case when wx > 0 then 0 else 1 end as long) as frame_id")
-    r = cells.residency(cells.touched_cells(pts, few), few)
-    assert r.where("evict_frame is null").count() == 30 and r.count() > 30
-    assert integrate.integrate_resident(pts, few, r).count() == 125
+    rows = [(0, 1.5, 1.5, 1.5), (0, -1.5, -1.5, -1.5), (1, 1.5, 1.5, 1.5), (2, 0.04, 1.5, -1.5), (2, 1.5, 1.5, 1.5)]
+    pts = numbered(spark, rows)
+    got = set(map(tuple, integrate.integrate_resident(pts, few, cells.residency(pts, few)).collect()))
+    ring = plain_ring(plain_requests(rows, few), 30)
+    since = {c: f for (c, f, e) in ring if e is None}
+    want = set()
+    per = {f: serial_raw([r[1:] for r in rows if r[0] == f], few) for f in range(3)}
+    for k in {k for m in per.values() for k in m}:
+        c = tuple(i // 10 for i in k)
+        seen = [per[f][k] for f in per if c in since and f >= since[c] and k in per[f]]
+        if seen:
+            hits = min(few.occ_min_hits, sum(h for _, h in seen))
+            want.add((*k, min(a for a, _ in seen), hits, hits >= few.occ_min_hits))
+    whole = set(map(tuple, integrate.integrate(pts, few).collect()))
+    assert got == want and got != whole and got
 
 
 def test_filters_and_poses(spark):
@@ -175,3 +224,21 @@ def test_marching_cubes_is_closed():
     t = mesh.march(ball)
     vol = abs(np.einsum("ni,ni->n", t[:, 0], np.cross(t[:, 1], t[:, 2])).sum() / 6)
     assert abs(vol - 4 / 3 * np.pi * 216) / vol < 0.03
+
+
+def test_mesh_covers_cells_that_see_a_neighbours_voxels(spark):
+    """A patch in the first layer of its cell: the cell below it is meshed too, in step with a plain loop."""
+    v = spark.createDataFrame([(x, y, 40, 0, 3, True) for x in range(38, 43) for y in range(32, 36)] + [(35, 35, 35, 0, 1, False)], "ix int, iy int, iz int, rank int, hits int, occupied boolean")
+    occupied = {(r.ix, r.iy, r.iz) for r in v.where("occupied").collect()}
+    want = {}
+    for c in np.ndindex(8, 8, 8):
+        s = np.full((11, 11, 11), 0.1)
+        for p in np.ndindex(11, 11, 11):
+            if tuple(np.array(c) * 10 + p) in occupied:
+                s[p] = -0.1
+        if (s < 0).any():
+            want[c] = len(mesh.march(s))
+    got = Counter((r.cx, r.cy, r.cz) for r in mesh.triangles(v, CFG, smoothing=False).collect())
+    assert got == Counter(want) and set(want) == {(3, 3, 3), (3, 3, 4), (4, 3, 3), (4, 3, 4)}
+    some = spark.createDataFrame([(3, 3, 3), (4, 3, 4), (7, 7, 7)], "cx int, cy int, cz int")
+    assert {(r.cx, r.cy, r.cz) for r in mesh.triangles(v, CFG, smoothing=False, allocated=some).collect()} == {(3, 3, 3), (4, 3, 4)}

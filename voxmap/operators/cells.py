@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import itertools
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,36 +34,59 @@ def touched_cells(points: DataFrame, cfg: MapConfig) -> DataFrame:
     return p.select("frame_id", *[F.col(a).alias(c) for a, c in zip(("wx", "wy", "wz"), CELL, strict=True)])
 
 
-def fifo(requests: Iterable[tuple], capacity: int) -> list[tuple]:
-    """(cell, first frame, frame of eviction or None) for first-touch requests (frame, cell) in order: a ring of slots."""
-    slot, out, at, n = [None] * capacity, [], {}, 0
-    for frame, cell in requests:
-        if cell in at:
-            continue
-        i = n % capacity
-        if slot[i] is not None:
-            old = slot[i]
-            k = at.pop(old)
-            out[k] = (*out[k][:2], frame)
-        slot[i], at[cell], n = cell, len(out), n + 1
-        out.append((cell, frame, None))
-    return out
-
+def fifo(requests: Iterable[tuple], capacity: int) -> Iterator[tuple]:
+    """(cell, frame of allocation, frame of eviction or None) for requests (frame, cells) in order: a ring of slots.
 
-def residency(touched: DataFrame, cfg: MapConfig) -> DataFrame:
+    Evictions are yielded as they happen, resident cells at the end, so only the ring is held.
+    """
+    slot, at, n, settled = [None] * capacity, {}, 0, None
+    for frame, cells in requests:
+        if cells == settled:
+            continue
+        new = 0
+        for cell in cells:
+            if cell not in at:
+                i = n % capacity
+                if slot[i] is not None:
+                    yield slot[i], at.pop(slot[i]), frame
+                slot[i], at[cell], n, new = cell, frame, n + 1, new + 1
+        # the same cells again change nothing where all were resident
+        settled = None if new else cells
+    for cell, frame in at.items():
+        yield cell, frame, None
+
+
+def residency(points: DataFrame, cfg: MapConfig) -> DataFrame:
     """(cell, alloc_frame, evict_frame): while the cells fit, every one from its first frame on; else the ring's fold.
 
-    The fold is sequential by nature and reads one row per frame and cell, grouped in one Arrow group; the usual case
-    (distinct cells within max_cells) is a plain aggregate and never comes there.
+    Requests come in the order of frame, point, then z, y, x of the 27 cells around the point; a cell that is evicted
+    within a frame and requested again is allocated again. The fold is sequential by nature: points are sorted into one
+    task, which streams them and holds the ring only. The usual case (distinct cells within max_cells) is a plain
+    aggregate and never comes there.
     """
+    touched = touched_cells(points, cfg)
     if touched.select(*CELL).distinct().count() <= cfg.max_cells:
         return touched.groupBy(*CELL).agg(F.min("frame_id").alias("alloc_frame")).withColumn("evict_frame", F.lit(None).cast("long"))
-
-    def fold(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["frame_id", "cz", "cy", "cx"])
-        rows = fifo(((r.frame_id, (r.cx, r.cy, r.cz)) for r in pdf.itertuples()), cfg.max_cells)
-        return pd.DataFrame([(*c, a, e) for c, a, e in rows], columns=[*CELL, "alloc_frame", "evict_frame"]).astype({"evict_frame": "Int64"})
-
-    return touched.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fold, "cx int, cy int, cz int, alloc_frame long, evict_frame long")
+    order = [c for c in ("frame_id", "point_idx", "wx", "wy", "wz") if c in points.columns]
+    steps = np.float32([-1, 0, 1])
+
+    def requests(batches):
+        for batch in batches:
+            frames = batch.column(0).to_pylist()
+            axes = []
+            for i in range(3):
+                v = batch.column(i + 1).to_numpy(zero_copy_only=False).astype(np.float32)[:, None] + steps
+                ok = (v > np.float32(cfg.low[i] + 1)) & (v < np.float32(cfg.high[i] - 1))
+                c = np.floor(np.where(ok, v, 0) - np.float32(cfg.origin[i])).astype(np.int64)
+                axes.append([[int(k) for k, good in zip(*row, strict=True) if good] for row in zip(c, ok, strict=True)])
+            for frame, xs, ys, zs in zip(frames, *axes, strict=True):
+                yield frame, [(x, y, z) for z in zs for y in ys for x in xs]
+
+    def fold(batches):
+        rows = fifo(requests(batches), cfg.max_cells)
+        while part := list(itertools.islice(rows, 50_000)):
+            cell, first, last = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([*[pa.array([c[i] for c in cell], pa.int32()) for i in range(3)], pa.array(first, pa.int64()), pa.array(last, pa.int64())], [*CELL, "alloc_frame", "evict_frame"])
+
+    one = points.select("frame_id", "wx", "wy", "wz", *[c for c in order if c == "point_idx"]).repartition(1).sortWithinPartitions(*order)
+    return one.mapInArrow(fold, "cx int, cy int, cz int, alloc_frame long, evict_frame long")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmap.config import MapConfig
-from voxmap.operators.export import occupied_cells
+from voxmap.operators.cells import CELL
+from voxmap.operators.export import cells
 from voxmap.operators.integrate import VOXEL
 
 CORNERS = [(i & 1, i >> 1 & 1, i >> 2) for i in range(8)]
@@ -53,10 +54,26 @@ def cases() -> list[list[tuple[int, int, int]]]:
     return out
 
 
+def meshed_cells(voxels: DataFrame, cfg: MapConfig, allocated: DataFrame | None = None) -> DataFrame:
+    """The allocated cells that see an occupied sample: of their own, or in the first layer of an upper neighbour.
+
+    Without `allocated`, all lower neighbours in the grid count as allocated: a map that evicts nothing allocates the
+    cells around each point, and a stencil's radius is far below a cell.
+    """
+    v = cells(voxels.where("occupied"), cfg)
+    for a in "xyz":
+        v = v.withColumn(f"c{a}", F.explode(F.when((F.col(f"v{a}") == 0) & (F.col(f"c{a}") > 0), F.array(F.col(f"c{a}"), F.col(f"c{a}") - 1)).otherwise(F.array(f"c{a}"))))
+    v = v.select(*CELL).distinct()
+    return v if allocated is None else v.join(allocated.select(*CELL), CELL, "left_semi")
+
+
 def field(voxels: DataFrame, cfg: MapConfig, allocated: DataFrame | None = None) -> DataFrame:
-    """(cx, cy, cz, vx, vy, vz, sdf): (n+1)^3 samples of each cell, -0.1 res in occupied voxels and +0.1 res elsewhere."""
+    """(cx, cy, cz, vx, vy, vz, sdf): (n+1)^3 samples of each cell, -0.1 res in occupied voxels and +0.1 res elsewhere.
+
+    allocated: the resident cells of a map that evicts; only cells that see an occupied sample are given.
+    """
     m = cfg.per_metre
-    grid = allocated if allocated is not None else occupied_cells(voxels, cfg)
+    grid = meshed_cells(voxels, cfg, allocated)
     for a in "zyx":
         grid = grid.withColumn(f"v{a}", F.explode(F.sequence(F.lit(0), F.lit(m))))
     grid = grid.withColumns({f"i{a}": F.col(f"c{a}") * m + F.col(f"v{a}") for a in "xyz"})
@@ -81,20 +98,20 @@ def march(v: np.ndarray, iso: float = 0.0) -> np.ndarray:
     idx = np.zeros(n, np.int64)
     for i, (x, y, z) in enumerate(CORNERS):
         idx |= (v[x : x + n[0], y : y + n[1], z : z + n[2]] < iso).astype(np.int64) << i
-    out, table = [], cases()
-    for x, y, z in np.argwhere((idx > 0) & (idx < 255)):
-        p = {}
-        for tri in table[idx[x, y, z]]:
-            for e in tri:
-                if e not in p:
-                    a, b = (np.array(CORNERS[c]) + (x, y, z) for c in EDGES[e])
-                    va, vb = v[tuple(a)], v[tuple(b)]
-                    p[e] = a + (b - a) * ((iso - va) / (vb - va))
-            out.append([p[e] for e in tri])
-    return np.array(out, np.float64).reshape(-1, 3, 3)
-
-
-def triangles(voxels: DataFrame, cfg: MapConfig, iso: float = 0.0, smoothing: bool = True) -> DataFrame:
+    at = np.argwhere((idx > 0) & (idx < 255))
+    case, corner, edge, table = idx[tuple(at.T)], np.array(CORNERS), np.array(EDGES), cases()
+    out, cube = [np.zeros((0, 3, 3))], [np.zeros(0, np.int64)]
+    # all cubes of one case at once
+    for k in np.unique(case):
+        own, ends = np.flatnonzero(case == k), corner[edge[np.array(table[k])]]
+        a, b = (at[own, None, None] + ends[:, :, i] for i in (0, 1))
+        va, vb = v[tuple(np.moveaxis(a, -1, 0))], v[tuple(np.moveaxis(b, -1, 0))]
+        out.append((a + (b - a) * ((iso - va) / (vb - va))[..., None]).reshape(-1, 3, 3))
+        cube.append(np.repeat(own, len(table[k])))
+    return np.concatenate(out)[np.argsort(np.concatenate(cube), kind="stable")]
+
+
+def triangles(voxels: DataFrame, cfg: MapConfig, iso: float = 0.0, smoothing: bool = True, allocated: DataFrame | None = None) -> DataFrame:
     """(cx, cy, cz, tri, ax .. cz_) triangles of each cell; a group is one cell, so (n+1)^3 samples at most."""
     m, origin, names = cfg.per_metre, np.array(cfg.origin, float), [f"{p}{a}" for p in ("p", "q", "r") for a in "xyz"]
 
@@ -112,7 +129,7 @@ def triangles(voxels: DataFrame, cfg: MapConfig, iso: float = 0.0, smoothing: bo
         return d
 
     ddl = "cx int, cy int, cz int, tri int, " + ", ".join(f"{n} double" for n in names)
-    return field(voxels, cfg).groupBy("cx", "cy", "cz").applyInPandas(run, ddl)
+    return field(voxels, cfg, allocated).groupBy("cx", "cy", "cz").applyInPandas(run, ddl)
 
 
 def save_mesh(tris: DataFrame, path: str) -> int:

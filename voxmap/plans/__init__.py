@@ -26,7 +26,7 @@ def build_map(points: DataFrame, posed: DataFrame, cfg: MapConfig, evict: bool =
     w = world_points(points, posed, cfg)
     if not evict:
         return integrate.integrate(w, cfg)
-    return integrate.integrate_resident(w, cfg, cells.residency(cells.touched_cells(w, cfg), cfg))
+    return integrate.integrate_resident(w, cfg, cells.residency(w, cfg))
 
 
 def counters(scan_times: DataFrame, posed: DataFrame, kept: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def q_cells(spark, d):
 def q_residency(spark, d):
     """A small ring, so that cells are evicted and come back."""
     small = MapConfig(CFG.low, CFG.high, 0.1, 200, 1.0, 5.0, 2, 3, 40, 40, 5, "L2", 5)
-    return C.residency(C.touched_cells(world(spark, d), small), small)
+    return C.residency(world(spark, d), small)
 
 
 def q_voxels(spark, d):
@@ -151,7 +151,7 @@ def q_voxels(spark, d):
 
 def q_resident_map(spark, d):
     w = world(spark, d)
-    return I.integrate_resident(w, CFG, C.residency(C.touched_cells(w, CFG), CFG))
+    return I.integrate_resident(w, CFG, C.residency(w, CFG))
 
 
 def q_merge(spark, d):
@@ -189,11 +189,13 @@ def q_trilinear(spark, d):
 
 
 def q_field(spark, d):
-    return M.field(voxels(spark, d), CFG).groupBy("cx", "cy", "cz").agg(F.sum(F.when(F.col("sdf") < 0, 1).otherwise(0)).alias("inside"), F.count(F.lit(1)).alias("samples"))
+    w = world(spark, d)
+    return M.field(I.integrate(w, CFG), CFG, C.touched_cells(w, CFG)).groupBy("cx", "cy", "cz").agg(F.sum(F.when(F.col("sdf") < 0, 1).otherwise(0)).alias("inside"), F.count(F.lit(1)).alias("samples"))
 
 
 def q_mesh(spark, d):
-    return M.triangles(voxels(spark, d), CFG)
+    w = world(spark, d)
+    return M.triangles(I.integrate(w, CFG), CFG, allocated=C.touched_cells(w, CFG))
 
 
 def q_counters(spark, d):
@@ -257,6 +259,8 @@ _CORNER = ", ".join(f"max(case when c = {i} then rank end)::double c{i}" for i i
 _COEF = ["c0", "c1-c0", "c2-c0", "c4-c0", "c3-c1-c2+c0", "c5-c1-c4+c0", "c6-c2-c4+c0", "c7-c3-c5-c6+c1+c2+c4-c0"]
 _TERM = ["1", "ux", "uy", "uz", "ux*uy", "ux*uz", "uy*uz", "ux*uy*uz"]
 
+_TOUCHED = "select distinct frame_id, " + ", ".join(f"cast(floor(w{a} + k{a} + 16) as int) c{a}" for a in "xyz") + " from world cross join " + " cross join ".join(f"(select unnest([-1, 0, 1]) k{a})" for a in "xyz") + " where " + " and ".join(f"w{a} + k{a} > -15 and w{a} + k{a} < 15" for a in "xyz")
+
 ORACLE = {
     "range_filter": _CTE + "select frame_id, point_idx from near",
     "every_nth": _CTE + "select frame_id, point_idx from kept",
@@ -270,7 +274,7 @@ ORACLE = {
     "stencil_l2": _L2,
     "stencil_l1": _L1,
     "kernel": f"with stencil as ({_L2}), dirs as ({_DIRS}) select bin, sum({_OCC}) occupied, sum(rank) ranks from stencil cross join dirs group by 1",
-    "touched_cells": _CTE + "select distinct frame_id, " + ", ".join(f"cast(floor(w{a} + k{a} + 16) as int) c{a}" for a in "xyz") + " from world cross join " + " cross join ".join(f"(select unnest([-1, 0, 1]) k{a})" for a in "xyz") + " where " + " and ".join(f"w{a} + k{a} > -15 and w{a} + k{a} < 15" for a in "xyz"),
+    "touched_cells": _CTE + _TOUCHED,
     "voxel_map": _CTE + "select *, cast((1 << rank) - 1 as int) d from voxels",
     "resident_map": _CTE + "select * from voxels",
     "map_merge": _CTE + "select * from voxels",
@@ -286,6 +290,6 @@ ORACLE = {
   from (select p.*, c, coalesce(v.rank, 16) rank from (select probe_id, x, y, z, {", ".join(f"i{a} j{a}" for a in "xyz")}, c, ix + c % 2 ix, iy + (c // 2) % 2 iy, iz + c // 4 iz
   from (select probe_id, x, y, z, {_AT} from probes) cross join (select unnest(range(8)) c)) p left join voxels v using (ix, iy, iz)) group by 1)""",
     "signed_field": _CTE + f"""select cx, cy, cz, sum(case when v.occupied then 1 else 0 end) inside, count(*) samples
-  from (select *, {", ".join(f"c{a} * 10 + v{a} i{a}" for a in "xyz")} from (select distinct cx, cy, cz from placed where occupied) cross join {_FULL.format(11)}) cc left join voxels v using (ix, iy, iz) group by 1, 2, 3""",
+  from (select *, {", ".join(f"c{a} * 10 + v{a} i{a}" for a in "xyz")} from (select distinct {", ".join(f"c{a} - k{a} as c{a}" for a in "xyz")} from placed cross join {" cross join ".join(f"(select unnest([0, 1]) k{a}) u{a}" for a in "xyz")} where occupied and {" and ".join(f"(k{a} = 0 or v{a} = 0)" for a in "xyz")}) semi join ({_TOUCHED}) using (cx, cy, cz) cross join {_FULL.format(11)}) cc left join voxels v using (ix, iy, iz) group by 1, 2, 3""",
     "scan_counters": _CTE + f"select (select count(distinct frame_id) from scans) frames_in, (select count(distinct frame_id) from scans) - (select count(*) from ({_ASOF})) frames_dropped, (select count(*) from kept k join ({_ASOF}) a on k.frame_id = a.frame_id) points_kept",
 }
