@@ -109,10 +109,13 @@ def coder(path: str, spaced: bool, added: bool) -> Coder:
     return _CODERS[path, spaced, added]
 
 
-def encoded_rows(col: pa.Array, path: str, spaced: bool, end_id: int, added: bool = False):
-    """(row, uint32 ids of the whole text and end_id) for each row of a string column; null is empty."""
+def encoded_rows(col: pa.Array, path: str, spaced: bool, end_id: int, added: bool = False, chunk: int = 1 << 20):
+    """(row, uint32 ids of the whole text and end_id) for each row of a string column; null is empty.
+
+    chunk: about the bytes of whole texts that are worked on at once.
+    """
     c, end = coder(path, spaced, added), np.array([end_id], np.uint32)
-    for lo, _, buf, off in X.text_chunks(col):
+    for lo, _, buf, off in X.text_chunks(col, chunk):
         raw = buf.tobytes()
         low = raw.lower() if c.added else b""
         whole = [(raw, _ODD)] if spaced and any(o in raw for o in _ODD) else []

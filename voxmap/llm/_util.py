@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: bytes of an Arrow batch between the JVM and a Python worker (Spark's own bound is 64 MB); both sides hold several
+ARROW_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ARROW_BYTES, however long the texts, for jobs run inside; a bound set in the session stays."""
+    own = spark.conf.get(_BYTES, None) is not None
+    if not own:
+        spark.conf.set(_BYTES, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(_BYTES)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and no executor holds the only copy."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxmap_path = path
     return out

@@ -25,6 +25,8 @@ from voxmap.llm._tok import encoded_rows
 from voxmap.llm._util import cut, empty, ranked, table
 from voxmap.llm.op10_tokenfile import tokenizer_path
 
+#: bytes of texts encoded at once: 97 MB of a worker at the peak, 144 MB with 1 MB, for 15 % more CPU
+CHUNK = 1 << 18
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -32,7 +34,7 @@ def _pieces(path: str, end_id: int, capacity: int, added: bool):
     def run(batches):
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for r, ids in encoded_rows(b.column(1), path, False, end_id, added):
+            for r, ids in encoded_rows(b.column(1), path, False, end_id, added, CHUNK):
                 raw = ids.astype("<u4").tobytes()
                 for k in range(0, len(ids), capacity):
                     row.append(r)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmap.llm import _text as X
-from voxmap.llm._util import table
+from voxmap.llm._util import small_batches, table
 from voxmap.llm.op8_language import remainder
 
 VOCAB, DIM, WINDOW, TRAIN, HIDDEN = 1 << 14, 48, 2, 20_000, 32
@@ -96,7 +96,8 @@ def _add(batches):
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors (VOCAB x DIM) over all texts of docs(text)."""
     parts = docs.select("text").mapInArrow(_accumulate, "bucket int, v binary")
-    rows = parts.repartition("bucket").mapInArrow(_add, "bucket int, v binary").collect()  # VOCAB rows at most
+    with small_batches(docs.sparkSession):
+        rows = parts.repartition("bucket").mapInArrow(_add, "bucket int, v binary").collect()  # VOCAB rows at most
     m = np.zeros((VOCAB, DIM), np.float32)
     for r in rows:
         m[r.bucket] = np.frombuffer(r.v, np.float32)
@@ -191,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN):
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     vectors = spark.sparkContext.broadcast(word_vectors(docs))  # VOCAB x DIM numbers
     some = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).withColumn("h", F.xxhash64("doc_id", F.lit(9))).orderBy("h", "doc_id", "quality").limit(train)
-    rows = docs.join(F.broadcast(some), "doc_id").select("quality", "text", "h").select("quality", "text").mapInArrow(_features(vectors), "quality int, f binary").collect()  # `train` rows at most
+    with small_batches(spark):
+        rows = docs.join(F.broadcast(some), "doc_id").select("quality", "text", "h").select("quality", "text").mapInArrow(_features(vectors), "quality int, f binary").collect()  # `train` rows at most
     rows.sort(key=lambda r: (bytes(r.f), r.quality))
     order = np.random.default_rng(1).permutation(len(rows))
     x = np.array([np.frombuffer(rows[i].f, np.float32) for i in order]) if rows else np.zeros((0, DIM + EXTRA))
