@@ -208,3 +208,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
 def op5_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all embeddings at cosine 0.95."""
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+SQL = """with recursive v as (select vec_id, cast(embedding as double[]) e from embeddings where embedding is not null and len(embedding) > 0),
+good as (select * from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.vec_id a, b.vec_id b from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select vec_id id, vec_id c from embeddings union select l.b, r.c from reach r join links l on l.a = r.id)
+select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept from embeddings
+join (select id, min(c) component_id from reach group by id) on id = vec_id left join (select a, count(*) n from links group by a) on a = vec_id"""

@@ -303,3 +303,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents on 2-word shingles at Jaccard 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents where text is not null),
+shingles as (select distinct doc_id, unnest(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) s from w where len(w) > 0),
+sizes as (select doc_id, count(*) n from shingles group by 1),
+common as (select a.doc_id a, b.doc_id b, count(*) c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+reach as (select doc_id id, doc_id c from documents union select l.b, r.c from reach r join links l on l.a = r.id)
+select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept from documents d
+join (select id, min(c) component_id from reach group by id) on id = d.doc_id left join sizes s on s.doc_id = d.doc_id"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from voxmap.llm import op5_cosine as _op5
+from voxmap.llm import op7_minhash as _op7
 from voxmap.llm.op1_resharding import op1_resharding
 from voxmap.llm.op2_decontaminate import op2_decontaminate
 from voxmap.llm.op3_lines import op3_lines
@@ -14,4 +16,4 @@ from voxmap.llm.op9_quality import op9_quality
 from voxmap.llm.op10_tokenfile import op10_tokenfile
 
 QUERIES = {f.__name__: f for f in (op1_resharding, op2_decontaminate, op3_lines, op4_html, op5_cosine, op6_packing, op7_minhash, op8_language, op9_quality, op10_tokenfile)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_cosine": _op5.SQL, "op7_minhash": _op7.SQL}
