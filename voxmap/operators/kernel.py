@@ -34,6 +34,11 @@ def stencil(spark: SparkSession, cfg: MapConfig) -> DataFrame:
     return spark.createDataFrame(stencil_rows(cfg), "k int, ox int, oy int, oz int, r2 int, rank int, mask int")
 
 
+def rank_table(spark: SparkSession, cfg: MapConfig) -> DataFrame:
+    """(r2, rank, mask) of each squared distance of the L2 stencil."""
+    return stencil(spark, cfg).select("r2", "rank", "mask").distinct()
+
+
 def directions(spark: SparkSession, cfg: MapConfig) -> DataFrame:
     return spark.createDataFrame([(i, *map(float, d)) for i, d in enumerate(bin_directions(cfg))], "bin int, dx float, dy float, dz float")
 

@@ -31,17 +31,26 @@ def nearest_pose(scans: DataFrame, poses: DataFrame, tolerance_us: int = 100_000
     return j.groupBy(*scans.columns).agg(best).select(*scans.columns, F.col("_m.pose_seq").alias("pose_seq"), F.col("_m._dt").alias("dt_us"), *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
-def lookup_pose(scans: DataFrame, poses: DataFrame) -> DataFrame:
-    """Frame-tree lookup at the scan's time: linear and spherical interpolation, no extrapolation; stamp 0 is the latest.
+def lookup_pose(scans: DataFrame, poses: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
+    """The pose of each scan's (parent, child) link at its time: linear and spherical interpolation, no extrapolation;
+    stamp 0 is the latest pose.
 
-    One union and a window over time per (parent, child) pair: the last pose at or before and the first at or after.
+    The last pose at or before and the first at or after come from windows within time buckets, so the poses of one
+    link are spread over as many tasks as there are buckets. Only a row per bucket goes through a window over a whole
+    link: the last pose of the buckets before and the first one of those after.
     """
     link = ["parent", "child"]
     p = poses.select(*link, F.col("stamp_us").alias("_t"), F.struct(F.col("stamp_us").alias("t"), "pose_seq", *POSE).alias("_p"), F.lit(None).cast("long").alias("frame_id"))
     live = scans.where("stamp_us <> 0").select(*link, F.col("stamp_us").alias("_t"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), "frame_id")
-    w = Window.partitionBy(*link).orderBy("_t", F.col("_p").isNull(), "_p.pose_seq")
-    fw = Window.partitionBy(*link).orderBy(F.desc("_t"), F.col("_p").isNull(), F.desc("_p.pose_seq"))
-    u = p.unionByName(live).withColumn("a", F.last("_p", True).over(w)).withColumn("z", F.last("_p", True).over(fw)).where("frame_id is not null and a is not null and z is not null")
+    both = p.unionByName(live).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
+    ends = both.groupBy(*link, "_b").agg(F.max("_p").alias("_hi"), F.min("_p").alias("_lo"))
+    past = Window.partitionBy(*link).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*link).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*link, "_b", F.last("_hi", True).over(past).alias("_before"), F.last("_lo", True).over(future).alias("_after"))
+    w = Window.partitionBy(*link, "_b").orderBy("_t", F.col("_p").isNull(), "_p.pose_seq")
+    fw = Window.partitionBy(*link, "_b").orderBy(F.desc("_t"), F.col("_p").isNull(), F.desc("_p.pose_seq"))
+    u = both.withColumn("a", F.last("_p", True).over(w)).withColumn("z", F.last("_p", True).over(fw)).where("frame_id is not null").join(ends, [*link, "_b"])
+    u = u.withColumns({"a": F.coalesce("a", "_before"), "z": F.coalesce("z", "_after")}).where("a is not null and z is not null")
     f = F.when(F.col("z.t") == F.col("a.t"), F.lit(0.0)).otherwise((F.col("_t") - F.col("a.t")) / (F.col("z.t") - F.col("a.t")))
     dot = sum((F.col(f"a.{c}") * F.col(f"z.{c}") for c in POSE[3:]), F.lit(0.0))
     sign, angle = F.when(dot < 0, -1.0).otherwise(1.0), F.acos(F.least(F.lit(1.0), F.abs(dot)))
@@ -54,6 +63,47 @@ def lookup_pose(scans: DataFrame, poses: DataFrame) -> DataFrame:
     return mixed.unionByName(zero)
 
 
+def frame_path(poses: DataFrame, root: str, leaf: str) -> list[str]:
+    """The frames from root down to leaf; a frame has one parent. The driver takes the links, a row per frame."""
+    up = {r.child: r.parent for r in poses.select("parent", "child").distinct().collect()}
+    path = [leaf]
+    while path[-1] != root:
+        if path[-1] not in up or len(path) > len(up):
+            raise ValueError(f"no chain of links from {root!r} to {leaf!r}")
+        path.append(up[path[-1]])
+    return path[::-1]
+
+
+def lookup_chain(scans: DataFrame, poses: DataFrame, frames: list[str]) -> DataFrame:
+    """(frame_id, pose) of the last of `frames` in the first one: the lookups of all links between, composed.
+
+    A scan that lacks a pose on any link goes, as in a lookup of one link.
+    """
+    out = None
+    for parent, child in zip(frames, frames[1:]):
+        link = {"parent": F.lit(parent), "child": F.lit(child)}
+        one = lookup_pose(scans.withColumns(link), poses.where((F.col("parent") == parent) & (F.col("child") == child))).select("frame_id", *POSE)
+        out = one if out is None else compose(out, one.select("frame_id", *[F.col(c).alias(f"_{c}") for c in POSE]))
+    if out is None:
+        raise ValueError("a chain has two frames or more")
+    return out
+
+
+def compose(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """outer(frame_id, tx .. qz) after inner(frame_id, _tx .. _qz): rotations multiply, the inner translation is turned."""
+    c = {n: F.col(n).cast("double") for n in (*POSE, *[f"_{n}" for n in POSE])}
+    w, x, y, z = (c[n] for n in POSE[3:])
+    a, i, j, k = (c[f"_{n}"] for n in POSE[3:])
+    t = [c[f"_{n}"] for n in POSE[:3]]
+    # t + 2 w (q x t) + 2 q x (q x t)
+    cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    first = cross([x, y, z], t)
+    second = cross([x, y, z], first)
+    moved = [c[n] + t[m] + 2 * w * first[m] + 2 * second[m] for m, n in enumerate(POSE[:3])]
+    turned = [w * a - x * i - y * j - z * k, w * i + x * a + y * k - z * j, w * j - x * k + y * a + z * i, w * k + x * j - y * i + z * a]
+    return outer.join(inner, "frame_id").select("frame_id", *[e.alias(n) for e, n in zip([*moved, *turned], POSE, strict=True)])
+
+
 def identity_pose(scans: DataFrame) -> DataFrame:
     return scans.select("*", *[f32(1.0 if c == "qw" else 0.0).alias(c) for c in POSE])
 

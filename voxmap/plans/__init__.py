@@ -36,3 +36,9 @@ def counters(scan_times: DataFrame, posed: DataFrame, kept: DataFrame) -> DataFr
     c = kept.agg(F.count(F.lit(1)).alias("points_kept"))
     # one row each
     return a.crossJoin(b).crossJoin(c).select("frames_in", (F.col("frames_in") - F.col("ok")).alias("frames_dropped"), "points_kept")
+
+
+def published_cloud(points: DataFrame, posed: DataFrame, cfg: MapConfig, frame: str = "odom") -> DataFrame:
+    """The filtered, thinned points of each accepted scan in the world frame, under the scan's own stamp."""
+    stamped = posed.select("frame_id", "stamp_us", F.lit(frame).alias("frame"))
+    return world_points(points, posed, cfg).join(stamped, "frame_id").select("frame_id", "stamp_us", "frame", "point_idx", F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"))

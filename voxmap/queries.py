@@ -16,7 +16,7 @@ from voxmap.operators import kernel as K
 from voxmap.operators import mesh as M
 from voxmap.operators import pose as P
 from voxmap.operators import query as Q
-from voxmap.plans import counters
+from voxmap.plans import counters, published_cloud
 
 CFG = MapConfig((-16.0,) * 3, (16.0,) * 3, 0.1, 10_000, 1.0, 5.0, 2, 3, 40, 40, 5, "L2", 5)
 
@@ -204,11 +204,73 @@ def q_counters(spark, d):
     return counters(s, posed, kept(spark, d).join(posed.select("frame_id"), "frame_id"))
 
 
+def wide(spark, d):
+    """Points up to 20 m from the origin, so that some are outside the grid."""
+    return points(spark, d).select("frame_id", "point_idx", *[(F.col(f"p{a}") * f32(5.0)).alias(f"w{a}") for a in "xyz"])
+
+
+def q_in_grid(spark, d):
+    return wide(spark, d).where(FI.in_grid(CFG, *[F.col(f"w{a}") for a in "xyz"])).select("frame_id", "point_idx")
+
+
+def q_kernel_fits(spark, d):
+    return wide(spark, d).where(FI.kernel_fits(CFG)).select("frame_id", "point_idx")
+
+
+def _moved(w):
+    return w.select("frame_id", "point_idx", *[F.round(F.col(f"w{a}").cast("double"), 3).alias(a) for a in "xyz"])
+
+
+def q_yaw(spark, d):
+    return _moved(P.to_world_yaw(kept(spark, d), 1.5, -0.5, 0.25, 0.7))
+
+
+def q_rpy(spark, d):
+    return _moved(P.to_world_rpy(kept(spark, d), 1.5, -0.5, 0.25, 0.1, -0.2, 0.3))
+
+
+def q_zero_stamp(spark, d):
+    """Three links, so that a scan must take the latest pose of its own."""
+    child = lambda c: {"parent": F.lit("odom"), "child": F.concat(F.lit("lidar"), (F.col(c) % 3).cast("string"))}
+    out = P.lookup_pose(scan_times(spark, d).withColumn("stamp_us", F.lit(0).cast("long")).withColumns(child("frame_id")), poses(spark, d).withColumns(child("pose_seq")))
+    return out.select("frame_id", *[F.round(c, 6).alias(c) for c in ("tx", "ty", "qw", "qz")])
+
+
+def q_chain(spark, d):
+    """odom - base - lidar: the latest poses of two links, composed."""
+    even = F.col("pose_seq") % 2 == 0
+    p = poses(spark, d).withColumns({"parent": F.when(even, "odom").otherwise("base"), "child": F.when(even, "base").otherwise("lidar")})
+    out = P.lookup_chain(scan_times(spark, d).withColumn("stamp_us", F.lit(0).cast("long")), p, ["odom", "base", "lidar"])
+    return out.select("frame_id", *[F.round(c, 6).alias(c) for c in ("tx", "ty", "qw", "qz")])
+
+
+def q_no_evict(spark, d):
+    return C.residency(world(spark, d), CFG).select(*C.CELL, "alloc_frame")
+
+
+def q_rank_table(spark, d):
+    """11 voxels an edge: more distances than ranks."""
+    return K.rank_table(spark, MapConfig(kernel_size=11, distance_mode="L2"))
+
+
+def q_preview(spark, d):
+    """A shadow radius that ends before the stencil's corners."""
+    return K.preview(spark, MapConfig(kernel_size=7, distance_mode="L2", shadow_radius=3), 805).select("ox", "oy", "rank", "occ", "sign")
+
+
+def q_published(spark, d):
+    posed = P.nearest_pose(scan_times(spark, d), poses(spark, d), CFG.tolerance_us)
+    cloud = published_cloud(points(spark, d), posed, CFG)
+    return cloud.select("frame_id", "stamp_us", "frame", "point_idx", *[F.round(F.col(a).cast("double"), 3).alias(a) for a in "xyz"])
+
+
 QUERIES = {
     "range_filter": q_range, "every_nth": q_every, "nearest_pose": q_nearest, "lookup_pose": q_lookup, "last_poses": q_last, "world_points": q_world_pose, "crop_xy": q_crop,
     "direction_bins": q_bins, "stencil_l2": q_stencil_l2, "stencil_l1": q_stencil_l1, "kernel": q_kernel, "touched_cells": q_cells, "residency": q_residency, "voxel_map": q_voxels,
     "resident_map": q_resident_map, "map_merge": q_merge, "surface_cloud": q_surface, "surface_every_second": q_surface_sub, "dense_cells": q_dense, "occupied_centres": q_centres,
     "voxel_lookup": q_lookup_voxel, "voxel_walk": q_walk, "trilinear": q_trilinear, "signed_field": q_field, "mesh": q_mesh, "scan_counters": q_counters,
+    "in_grid": q_in_grid, "kernel_fits": q_kernel_fits, "transform_yaw": q_yaw, "transform_rpy": q_rpy, "pose_latest_zero_stamp": q_zero_stamp, "pose_chain": q_chain,
+    "cell_residency_no_evict": q_no_evict, "rank_table": q_rank_table, "kernel_preview": q_preview, "published_cloud": q_published,
 }
 
 # ---- SQL equivalents -------------------------------------------------------------------------------------------------
@@ -261,6 +323,23 @@ _TERM = ["1", "ux", "uy", "uz", "ux*uy", "ux*uz", "uy*uz", "ux*uy*uz"]
 
 _TOUCHED = "select distinct frame_id, " + ", ".join(f"cast(floor(w{a} + k{a} + 16) as int) c{a}" for a in "xyz") + " from world cross join " + " cross join ".join(f"(select unnest([-1, 0, 1]) k{a})" for a in "xyz") + " where " + " and ".join(f"w{a} + k{a} > -15 and w{a} + k{a} < 15" for a in "xyz")
 
+_WIDE = _CTE + ", wide as (select frame_id, point_idx, " + ", ".join(f"p{a} * {_F(5)} w{a}" for a in "xyz") + " from points) select frame_id, point_idx from wide where "
+_D = lambda e: f"cast({e} as float)"
+_ROLL, _PITCH, _YAW = "0.1::double", "-0.2::double", "0.3::double"
+
+
+def _turned(m: list[list[str]]) -> str:
+    t = (1.5, -0.5, 0.25)
+    return _CTE + "select frame_id, point_idx, " + ", ".join(f"round(({_D(r[0])} * px + {_D(r[1])} * py + {_D(r[2])} * pz + {_F(o)})::double, 3) {a}" for r, o, a in zip(m, t, "xyz", strict=True)) + " from kept"
+
+
+def _rpy(r: str, p: str, y: str) -> list[list[str]]:
+    return [
+        [f"cos({y}) * cos({p})", f"cos({y}) * sin({p}) * sin({r}) - sin({y}) * cos({r})", f"cos({y}) * sin({p}) * cos({r}) + sin({y}) * sin({r})"],
+        [f"sin({y}) * cos({p})", f"sin({y}) * sin({p}) * sin({r}) + cos({y}) * cos({r})", f"sin({y}) * sin({p}) * cos({r}) - cos({y}) * sin({r})"],
+        [f"-sin({p})", f"cos({p}) * sin({r})", f"cos({p}) * cos({r})"],
+    ]
+
 ORACLE = {
     "range_filter": _CTE + "select frame_id, point_idx from near",
     "every_nth": _CTE + "select frame_id, point_idx from kept",
@@ -292,4 +371,18 @@ ORACLE = {
     "signed_field": _CTE + f"""select cx, cy, cz, sum(case when v.occupied then 1 else 0 end) inside, count(*) samples
   from (select *, {", ".join(f"c{a} * 10 + v{a} i{a}" for a in "xyz")} from (select distinct {", ".join(f"c{a} - k{a} as c{a}" for a in "xyz")} from placed cross join {" cross join ".join(f"(select unnest([0, 1]) k{a}) u{a}" for a in "xyz")} where occupied and {" and ".join(f"(k{a} = 0 or v{a} = 0)" for a in "xyz")}) semi join ({_TOUCHED}) using (cx, cy, cz) cross join {_FULL.format(11)}) cc left join voxels v using (ix, iy, iz) group by 1, 2, 3""",
     "scan_counters": _CTE + f"select (select count(distinct frame_id) from scans) frames_in, (select count(distinct frame_id) from scans) - (select count(*) from ({_ASOF})) frames_dropped, (select count(*) from kept k join ({_ASOF}) a on k.frame_id = a.frame_id) points_kept",
+    "in_grid": _WIDE + " and ".join(f"w{a} > -15 and w{a} < 15" for a in "xyz"),
+    "kernel_fits": _WIDE + " and ".join(f"w{a} - {_F(0.4)} > -15 and w{a} + {_F(0.4)} < 15" for a in "xyz"),
+    "transform_yaw": _turned([["cos(0.7::double)", "-sin(0.7::double)", "0"], ["sin(0.7::double)", "cos(0.7::double)", "0"], ["0", "0", "1"]]),
+    "transform_rpy": _turned(_rpy(_ROLL, _PITCH, _YAW)),
+    "pose_latest_zero_stamp": _CTE + """select frame_id, round(tx::double, 6) tx, round(ty::double, 6) ty, round(qw::double, 6) qw, round(qz::double, 6) qz
+  from scans join (select *, row_number() over (partition by pose_seq % 3 order by stamp_us desc, pose_seq desc) r from poses) p on frame_id % 3 = pose_seq % 3 and r = 1""",
+    "pose_chain": _CTE + """, latest as (select *, pose_seq % 2 = 0 even from (select *, row_number() over (partition by pose_seq % 2 order by stamp_us desc, pose_seq desc) r from poses) where r = 1)
+  select frame_id, round(a.tx::double + (1 - 2 * a.qz::double * a.qz) * b.tx - 2 * a.qw::double * a.qz * b.ty, 6) tx, round(a.ty::double + 2 * a.qw::double * a.qz * b.tx + (1 - 2 * a.qz::double * a.qz) * b.ty, 6) ty,
+  round(a.qw::double * b.qw - a.qz::double * b.qz, 6) qw, round(a.qw::double * b.qz + a.qz::double * b.qw, 6) qz from scans cross join (from latest where even) a cross join (from latest where not even) b""",
+    "cell_residency_no_evict": _CTE + f"select cx, cy, cz, min(frame_id) alloc_frame from ({_TOUCHED}) group by 1, 2, 3",
+    "rank_table": f"select distinct r2, rank, mask from ({_stencil(5, 'dense_rank() over (order by r2) - 1')})",
+    "kernel_preview": f"select ox, oy, rank, occ, 1 - occ sign from (select ox, oy, rank, {_OCC.replace('25', '9')} occ from ({_stencil(3, 'dense_rank() over (order by r2) - 1')}) cross join (select * from ({_DIRS}) where bin = 805) where oz = 0)",
+    "published_cloud": _CTE + f"""select k.frame_id, stamp_us, 'odom' frame, point_idx, round((c * px - s * py + tx)::double, 3) x, round((s * px + c * py + ty)::double, 3) y, round(pz::double, 3) z
+  from (select k.frame_id, k.point_idx, stamp_us, px, py, pz, tx, ty, {_F(1)} - ({_F(2)} * qz) * qz c, ({_F(2)} * qz) * qw s from kept k join ({_ASOF}) a on k.frame_id = a.frame_id) k""",
 }
