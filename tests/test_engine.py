@@ -175,6 +175,33 @@ def test_writes_to_evicted_cells_are_dropped(spark):
     assert got == want and got != whole and got
 
 
+def rows_joined(df):
+    """The rows that the joins of df make, when it runs."""
+    df.collect()
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        x = todo.pop()
+        name = x.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(x.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(x.plan())
+        if "Join" in name:
+            n += x.metrics().apply("numOutputRows").value()
+        todo += [x.children().apply(i) for i in range(x.children().size())]
+    return n
+
+
+def test_resident_cells_meet_points_not_voxels(spark):
+    """400 points in 40 frames: a point meets the cells of its stencil (8 at most), not its 125 voxels."""
+    rnd = random.Random(5)
+    spots = [tuple(float(f"{rnd.uniform(-2, 2):.3f}") for _ in range(3)) for _ in range(10)]
+    pts = numbered(spark, [(f, *s) for f in range(40) for s in spots])
+    out = integrate.integrate_resident(pts, CFG, cells.residency(pts, CFG))
+    assert 400 <= rows_joined(out) <= 400 * 10
+    assert set(map(tuple, out.collect())) == set(map(tuple, integrate.integrate(pts, CFG).collect()))
+
+
 def test_filters_and_poses(spark):
     nan = float("nan")
     p = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0), (1, 1, nan, 0.0, 0.0), (1, 2, 0.5, 0.0, 0.0), (1, 3, 3.0, 0.0, 0.0), (1, 4, 2.0, 0.0, 0.0)], "frame_id long, point_idx long, px float, py float, pz float")

@@ -56,17 +56,34 @@ def fifo(requests: Iterable[tuple], capacity: int) -> Iterator[tuple]:
         yield cell, frame, None
 
 
+def first_frames(points: DataFrame, cfg: MapConfig) -> DataFrame:
+    """(cell, alloc_frame): the first frame that touches the cell.
+
+    Points that touch the same cells become one row, in each task already, before their up to 27 cells are made.
+    """
+    near = {}
+    for a, lo, hi, o in zip("xyz", cfg.low, cfg.high, cfg.origin, strict=True):
+        for k in (-1, 0, 1):
+            v = F.col(f"w{a}") + f32(float(k))
+            near[f"{a}{k + 1}"] = F.when((v > f32(lo + 1)) & (v < f32(hi - 1)) & ~F.isnan(v), F.floor(v - f32(o)).cast("int"))
+    p = points.select("frame_id", *[c.alias(n) for n, c in near.items()]).groupBy(*near).agg(F.min("frame_id").alias("frame_id"))
+    for a, c in zip("xyz", CELL, strict=True):
+        p = p.withColumn(c, F.explode(F.array(*[f"{a}{k}" for k in range(3)]))).where(F.col(c).isNotNull())
+    return p.groupBy(*CELL).agg(F.min("frame_id").alias("alloc_frame"))
+
+
 def residency(points: DataFrame, cfg: MapConfig) -> DataFrame:
     """(cell, alloc_frame, evict_frame): while the cells fit, every one from its first frame on; else the ring's fold.
 
     Requests come in the order of frame, point, then z, y, x of the 27 cells around the point; a cell that is evicted
     within a frame and requested again is allocated again. The fold is sequential by nature: points are sorted into one
     task, which streams them and holds the ring only. The usual case (distinct cells within max_cells) is a plain
-    aggregate and never comes there.
+    aggregate and never comes there; its rows, max_cells at most, are taken at once, so the points are read once for it.
     """
-    touched = touched_cells(points, cfg)
-    if touched.select(*CELL).distinct().count() <= cfg.max_cells:
-        return touched.groupBy(*CELL).agg(F.min("frame_id").alias("alloc_frame")).withColumn("evict_frame", F.lit(None).cast("long"))
+    first = first_frames(points, cfg)
+    rows = first.limit(cfg.max_cells + 1).collect()
+    if len(rows) <= cfg.max_cells:
+        return points.sparkSession.createDataFrame(rows, first.schema).withColumn("evict_frame", F.lit(None).cast("long"))
     order = [c for c in ("frame_id", "point_idx", "wx", "wy", "wz") if c in points.columns]
     steps = np.float32([-1, 0, 1])
 
