@@ -61,3 +61,19 @@ def test_large_group_needs_no_pair_per_pair(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = M.near_duplicates(df, 5, 80).collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_near_copies_cost_a_pair_a_member(spark, monkeypatch):
+    """300 near copies fall into several buckets a band; each first meets one pivot, not that of every bucket."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"n{i}" if j in (i % 150, (7 * i + 60) % 150) else w for j, w in enumerate(base))) for i in range(300)]
+    seen, plain = [], M.alike
+
+    def counted(pairs, sketches):
+        seen.append(pairs.count())
+        return plain(pairs, sketches)
+
+    monkeypatch.setattr(M, "alike", counted)
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.component_id for r in got} == {0}
+    assert seen[0] < len(rows) and sum(seen) < 2 * len(rows), seen
