@@ -55,6 +55,15 @@ def test_edges(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_plan_does_not_grow_with_levels(spark):
+    """The levels of the doubling are written one by one: what is left joins twice at most, with 5 words or with 50."""
+    rows = [(i, "\n".join(["a", "b", "c", "d"] * 20)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (5, 50):
+        plan = L.repeated_lines(df, words)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") <= 2, words
+
+
 def test_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     check(spark, rows, 50)

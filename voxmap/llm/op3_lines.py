@@ -75,7 +75,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ranked = _join(ranked, end, [*KEY, "seg", "stop"]).select(*at, "m", "a", "z")
         place = F.struct(F.col("d").isNull().alias("o"), F.col("d"), F.col("t1"), F.col("t2"), F.col("seg"), F.col("q"))
         groups = ranked.groupBy("m", "a", "z").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found = ranked.join(groups, ["m", "a", "z"]).where(place != F.col("first")).select(*at, "m")
+        # written at each level: a plan of all levels at once takes the driver's memory, at any size of input
+        found = cut(ranked.join(groups, ["m", "a", "z"]).where(place != F.col("first")).select(*at, "m"), "found")
         later = found if later is None else later.union(found)
         if 2 * span <= longest:
             nxt = Window.partitionBy(*KEY, "seg").orderBy("q")
@@ -85,6 +86,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         span *= 2
     if later is None:
         return whole.where("false").select(*KEY, "line")
+    forget(wins)
     gone = later.select(*KEY, "seg", F.explode(F.sequence("q", F.col("q") + F.col("m") - 1)).alias("q")).distinct()
     return _join(whole, gone, at).select(*KEY, "line")
 
