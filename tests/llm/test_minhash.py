@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -77,3 +78,23 @@ def test_near_copies_cost_a_pair_a_member(spark, monkeypatch):
     got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
     assert {r.component_id for r in got} == {0}
     assert seen[0] < len(rows) and sum(seen) < 2 * len(rows), seen
+
+
+def test_pivots_stand_amid_their_group(spark, monkeypatch):
+    """300 near copies of one text, which is there once, link with it and not with each other: it is to be the pivot."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        own = set(rng.sample(range(200), 8))
+        rows.append((i, " ".join(f"n{i}x{j}" if j in own else w for j, w in enumerate(base))))
+    seen, plain = [], M.alike
+
+    def counted(pairs, sketches):
+        seen.append(pairs.count())
+        return plain(pairs, sketches)
+
+    monkeypatch.setattr(M, "alike", counted)
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(seen) < 3 * len(rows), seen

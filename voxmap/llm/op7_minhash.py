@@ -5,9 +5,10 @@ second (pi) ranks the places and is shifted circularly by k for coordinate k. So
 coordinates of a shingle. Coordinates are banded; documents that share a band bucket are candidates, and links are
 confirmed by exact Jaccard similarity on the full shingle sets of whole texts.
 
-Hot groups: texts with one shingle set are one class from the start. A class is first compared with one pivot, the
-smallest member of most of its buckets; then, in buckets that hold several components still, with the PIVOTS smallest
-members that are in others (stars: a few pairs a member, never all pairs). Buckets of PIVOTS + 1 members are done with that;
+Hot groups: texts with one shingle set are one class from the start. Classes are ordered by the members of all their
+buckets, most first, so that those amid a group, which most others link with, are its pivots. A class is first compared
+with one pivot, the first member of most of its buckets; then, in buckets that hold several components still, with the
+PIVOTS first members that are in others (stars: a few pairs a member, never all pairs). Buckets of PIVOTS + 1 members are done with that;
 for larger ones that still hold several components, a prefix filter over their documents (shingles in one order;
 two sets at the threshold share one of their first 20 %) gives every pair of different components that can still be a
 link, so no link is lost. No bucket is gathered in a task and no bucket is capped.
@@ -248,43 +249,45 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BAND
     homes = classes.select(F.col("rep").alias("id"), *KEY)
     member = classes.select(F.explode("keys").alias("key"), "rep", "size")
     twice = cut(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n"), "buckets")
-    member = cut(member.where(Members(twice, "key").has("key")).hint("merge").join(twice.hint("merge"), "key"), "members")
+    member = member.where(Members(twice, "key").has("key")).hint("merge").join(twice.hint("merge"), "key")
+    # o: the order of the classes; one that shares its buckets with many comes first
+    member = cut(member.withColumn("o", F.struct((-F.sum("n").over(Window.partitionBy("rep"))).alias("w"), "rep")), "members")
     sketches = classes.select("rep", "sketch")
     fits = lambda x, y: percent * F.greatest(x, y) <= 100 * F.least(x, y)
     linked = f"100 * both >= {percent} * either"
     def met(members: DataFrame, pivots: DataFrame) -> DataFrame:
-        other = (F.col("q.rep") < F.col("rep")) & (F.col("comp") != F.col("q.comp"))
-        return members.hint("merge").join(pivots.hint("merge"), "key").where(other & fits(F.col("size"), F.col("q.size"))).select(F.col("rep").alias("x"), F.col("q.rep").alias("p"))
+        other = (F.col("q.o") < F.col("o")) & (F.col("comp") != F.col("q.comp"))
+        return members.hint("merge").join(pivots.hint("merge"), "key").where(other & fits(F.col("size"), F.col("q.size"))).select(F.col("rep").alias("x"), F.col("q.rep").alias("p"), F.col("q.o.w").alias("w"))
 
-    def smallest(members: DataFrame) -> DataFrame:
-        return cut(members.groupBy("key").agg(F.min(F.struct("rep", "size", "comp")).alias("q")), "pivots")
+    def first(members: DataFrame) -> DataFrame:
+        return cut(members.groupBy("key").agg(F.min(F.struct("o", "rep", "size", "comp")).alias("q")), "pivots")
 
     # first of all a class meets one pivot, of most of its buckets, so a group of near copies costs a pair a member
     alone = member.withColumn("comp", F.col("rep"))
-    best = met(alone, smallest(alone)).groupBy("x", "p").agg(F.count(F.lit(1)).alias("n")).groupBy("x").agg(F.max(F.struct("n", (-F.col("p")).alias("m"))).alias("b")).select("x", (-F.col("b.m")).alias("p"))
+    best = met(alone, first(alone)).groupBy("x", "p", "w").agg(F.count(F.lit(1)).alias("n")).groupBy("x").agg(F.min(F.struct((-F.col("n")).alias("n"), "w", "p")).alias("b")).select("x", "b.p")
     sims = cut(compare(texts, homes, cut(alike(best, sketches), "pairs"), width), "sims")
     comp = cut(components(sims.where(linked).select("a", "b")), "comp")
 
     def still_open(members: DataFrame) -> DataFrame:
         """members(key, n, rep, size) of the buckets that hold several components, with theirs."""
-        lab = members.hint("merge").join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("key", "n", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
+        lab = members.hint("merge").join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("key", "n", "rep", "size", "o", F.coalesce("comp", "rep").alias("comp"))
         keys = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         return lab.hint("merge").join(keys.hint("merge"), "key", "left_semi")
 
-    # then the members of such buckets meet the PIVOTS smallest that are in other components
+    # then the members of such buckets meet the PIVOTS first that are in other components
     some = cut(still_open(member), "open")
     stars, pairs = [], None
     for _ in range(PIVOTS):
-        over = some if not stars else some.hint("merge").join(stars[-1].select("key", F.col("q.rep").alias("_after")).hint("merge"), "key").where("rep > _after")
-        stars.append(smallest(over))
+        over = some if not stars else some.hint("merge").join(stars[-1].select("key", F.col("q.o").alias("_after")).hint("merge"), "key").where("o > _after").drop("_after")
+        stars.append(first(over))
         pairs = met(some, stars[-1]) if pairs is None else pairs.union(met(some, stars[-1]))
-    pairs = cut(alike(pairs.distinct().hint("merge").join(sims.select(F.col("a").alias("x"), F.col("b").alias("p")).hint("merge"), ["x", "p"], "left_anti"), sketches), "pairs")
+    pairs = cut(alike(pairs.select("x", "p").distinct().hint("merge").join(sims.select(F.col("a").alias("x"), F.col("b").alias("p")).hint("merge"), ["x", "p"], "left_anti"), sketches), "pairs")
     if not pairs.isEmpty():
         more = cut(compare(texts, homes, pairs, width), "sims")
         comp = cut(join_components(comp, more.where(linked).select("a", "b")), "comp")
         sims = sims.unionByName(more)
     # what the stars can't see: members of one large bucket that are in different components still
-    still = cut(still_open(some.select("key", "n", "rep", "size").where(F.col("n") > PIVOTS + 1)).select("rep", "size", "comp").distinct(), "open")
+    still = cut(still_open(some.drop("comp").where(F.col("n") > PIVOTS + 1)).select("rep", "size", "comp").distinct(), "open")
     if not still.isEmpty():
         at = cut(still.select(F.col("rep").alias("id")).hint("merge").join(homes.hint("merge"), "id"), "homes")
         own = _texts_of(texts, at).select("id", "text")
