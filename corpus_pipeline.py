@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, line dedup, near-dedup, decontamination, packing. Counted as part of voxmap.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents. Stages 1 and 5 have no SQL equivalent, so ORACLE_SQL is None; tests hold every stage against a
-brute-force version.
+columns of documents. Each first lets the executors return the heap that the stage before it has left. Stages 1 and 5
+have no SQL equivalent, so ORACLE_SQL is None; tests hold every stage against a brute-force version.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmap.llm import op2_decontaminate, op3_lines, op6_packing, op7_minhash, op9_quality
-from voxmap.llm._util import cut, table
+from voxmap.llm._util import cut, give_back, table
 from voxmap.llm.op8_language import remainder
 from voxmap.llm.op10_tokenfile import tokenizer_path
 
@@ -24,6 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored like others (the zero vector), repeated rows each get the same score, null ids are
     never labelled, and an empty table stays empty. Columns other than those of documents are left out.
     """
+    give_back(spark)
     docs = docs.select(*COLUMNS)
     model = op9_quality.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
     return op9_quality.score(docs, model, keep_text=True).where("score >= 0.3").select(*COLUMNS)
@@ -35,6 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts stay as they are; rows that repeat a (doc_id, text) count once and get the same text;
     a null doc_id comes after all others; n_chars follows a text that was cut.
     """
+    give_back(spark)
     d = op3_lines.dedup_lines(docs.select(*COLUMNS))
     left = F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return d.where("_removed is null or length(trim(translate(text, '\\n', ' '))) > 0").withColumn("n_chars", left).select(*COLUMNS)
@@ -47,6 +49,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and different texts are several documents, and a row with a null doc_id is one like others. Null and blank texts are
     near nothing. Only texts that go, or stand twice, are shuffled.
     """
+    give_back(spark)
     docs, key = docs.select(*COLUMNS), op3_lines.KEY
     found = cut(op7_minhash.groups(docs, 5, 80).select(*key, "first"), "groups")
     goes = cut(found.where("not first").select(*key).distinct(), "copies")
@@ -61,6 +64,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and wordless texts hold none; rows that repeat a (doc_id, text) go or stay together, whatever their doc_id.
     """
+    give_back(spark)
     return op2_decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -70,6 +74,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end id alone; repeated rows and rows with a null doc_id are packed each; an empty table
     gives no piece.
     """
+    give_back(spark)
     return op6_packing.pack(cut(op6_packing.cut_and_encode(docs, tokenizer_path("word_bpe_49k.json"), added=True), "pieces"))
 
 

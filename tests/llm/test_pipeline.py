@@ -38,3 +38,17 @@ def test_null_ids_and_repeated_rows(spark):
     for name, f in C.STAGES:
         assert f(spark, df, SF).count() == left[name], name
         assert f(spark, df.where("false"), SF).count() == 0, name
+
+
+def test_stages_return_heap(spark):
+    """Each stage begins with a full collection: what the one before has left is no longer held beside Python workers."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def full():
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for name, f in C.STAGES:
+        before = full()
+        f(spark, docs, SF)
+        assert full() > before, name

@@ -69,6 +69,16 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """A full collection in the JVM of each executor, which returns the heap that earlier steps have left to the system.
+
+    A JVM keeps what it once grew to, up to its bound, while its Python workers need memory beside it. There are more
+    tasks than cores, so each executor gets some; one that is missed, or that ignores such calls, only keeps its heap.
+    """
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
