@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -7,8 +8,9 @@ import pytest
 from tokenizers import Tokenizer
 
 from voxmap.llm import op6_packing as P6
+from voxmap.llm import _text as X
 from voxmap.llm import op10_tokenfile as P10
-from voxmap.llm._tok import encoded_rows
+from voxmap.llm._tok import coder, encoded_rows
 from voxmap.llm.op10_tokenfile import tokenizer_path
 
 SF = "/root/testdata/sf0.01"
@@ -38,6 +40,26 @@ def test_added_tokens_as_in_a_plain_call(path, spaced, end):
         assert ids.tolist() == [*tok.encode(texts[r] or "", add_special_tokens=False).ids, end], repr(texts[r])
 
 
+def test_pieces_cost_little_beside_their_hashes():
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("aeinorst") for _ in range(rnd.randint(1, 9))) for _ in range(160_000)]
+    col = pa.array([" ".join(words[k : k + 500]) + "." for k in range(0, len(words), 500)])
+    ((_, _, buf, off),) = X.text_chunks(col)
+    c = coder(BYTE, True, True)
+
+    def least(f):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    starts, ends, _ = c.pieces(buf, off)
+    assert b"".join(buf[a:b].tobytes() for a, b in zip(starts, ends, strict=True)) == buf.tobytes()
+    assert least(lambda: c.pieces(buf, off)) < 4 * least(lambda: X.hash_spans(buf, starts, ends))
+
+
 def test_queries_encode_as_the_plain_library(spark, tmp_path):
     rows = [(1, "one <|endoftext|> two"), (2, "<|STARTOFTEXT|> three <|startoftext|>"), (3, "four")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))

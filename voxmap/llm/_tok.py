@@ -28,6 +28,14 @@ _ODD = [bytes([c]) for c in range(0x1C, 0x20)] + [s.encode() for s in "\x85\xa0
 _CODERS: dict[tuple[str, bool, bool], Coder] = {}
 
 
+def _marked(n: int, *places: np.ndarray) -> np.ndarray:
+    """The distinct places, each from 0 to n, in order: marked byte by byte, which costs far less than to sort or hash them."""
+    mark = np.zeros(n + 1, dtype=bool)
+    for p in places:
+        mark[p] = True
+    return np.flatnonzero(mark)
+
+
 class Coder:
     def __init__(self, path: str, spaced: bool, added: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,19 +60,18 @@ class Coder:
 
     def pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends, and the pieces before each row."""
-        starts, ends, words = X.word_spans(buf, off)
+        starts, ends, _ = X.word_spans(buf, off)
         n = len(buf)
         i = np.flatnonzero(_END[buf[1:]] & _LETTER[buf[:-1]]) + 1 if n else np.zeros(0, np.int64)
-        i = i[~np.isin(i, off)] if len(i) else i
         if not self.spaced:
-            s = np.sort(np.concatenate([starts, i]))
-            e = np.sort(np.concatenate([ends, i]))
+            # at a row's start, i is among both already
+            s, e = _marked(n, starts, i), _marked(n, ends, i)
             return s, e, np.searchsorted(s, off)
         row = np.searchsorted(off, starts, "right") - 1
         prev = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         gap = starts - np.maximum(prev, off[row])
         joined = (gap > 0) & (buf[np.maximum(starts - 1, 0)] == 0x20)
-        cuts = np.unique(np.concatenate([off[:-1][off[1:] > off[:-1]], starts - joined, ends[ends < n], (starts - 1)[~joined & (gap >= 2)], i]))
+        cuts = _marked(n, off[:-1][off[1:] > off[:-1]], starts - joined, ends[ends < n], (starts - 1)[~joined & (gap >= 2)], i)
         return cuts, np.concatenate([cuts[1:], [n]]) if len(cuts) else cuts, np.searchsorted(cuts, off)
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
